@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .mixing import op9_mixing
+from .pii import op2_pii
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_pii": op2_pii,
+    "op9_mixing": op9_mixing,
 }
 
 #: Words of a text, as the queries see them.
