@@ -135,6 +135,12 @@ def spread(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> U64(32)) * U64(shards)) >> U64(32), h & U64((1 << 40) - 1)
 
 
+def by_shard(shard: np.ndarray):
+    """(shard, from, to) for each run of a sorted array."""
+    cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else [0]
+    return [(int(shard[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def input_bytes(df: DataFrame) -> int:
     """Stored size of what a plan reads, from its leaves' statistics; runs no job."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .lm_scoring import op4_lm_scoring
 from .mixing import op9_mixing
+from .packing import op3_packing
 from .pii import op2_pii
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
+    "op3_packing": op3_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op9_mixing": op9_mixing,
 }
 
