@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .lm_scoring import op4_lm_scoring
 from .mixing import op9_mixing
+from .near_dedup import op5_near_dedup
 from .packing import op3_packing
 from .pii import op2_pii
 from .substring_dedup import op1_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_near_dedup": op5_near_dedup,
     "op9_mixing": op9_mixing,
 }
 
