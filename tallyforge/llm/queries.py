@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .language_id import op8_language_id
+from .license_scan import op7_license_scan
 from .lm_scoring import op4_lm_scoring
 from .mixing import op9_mixing
 from .near_dedup import op5_near_dedup
 from .packing import op3_packing
 from .pii import op2_pii
+from .quality_rules import op10_quality_rules
 from .substring_dedup import op1_substring_dedup
+from .topk_search import op6_topk_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -15,7 +19,11 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_near_dedup": op5_near_dedup,
+    "op6_topk_search": op6_topk_search,
+    "op7_license_scan": op7_license_scan,
+    "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: Words of a text, as the queries see them.
@@ -28,6 +36,13 @@ ORACLE_SQL = {
         dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1),
         gone AS (SELECT doc_id, list(DISTINCT i + j) AS ps FROM dup, range(0, 20) r(j) GROUP BY doc_id)
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
-               sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, (x, i) -> NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+               sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
         FROM w LEFT JOIN gone USING (doc_id)""",
+    "op6_topk_search": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM e q, e c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }
