@@ -31,9 +31,9 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that of the smallest doc_id (operator 5)."""
     key = lambda text: F.xxhash64(F.col("doc_id").cast("long"), text)
-    stays = near_duplicates(docs).where("stays").select(key(F.col("h")).alias("_stays")).distinct()
-    keyed = docs.withColumn("_stays", key(F.xxhash64(F.col("text").cast("string"))))
-    return keyed.join(stays, "_stays", "left_semi").dropDuplicates(["_stays"]).select(*docs.columns)
+    stays = near_duplicates(docs).where("stays").select(key(F.col("h")).alias("__stays")).distinct()
+    keyed = docs.withColumn("__stays", key(F.xxhash64(F.col("text").cast("string"))))
+    return keyed.join(stays, "__stays", "left_semi").dropDuplicates(["__stays"]).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ A text is aligned with a template only if it holds enough of its distinct words
 the least coverage that is reported: words absent from the text can't be matched, so
 this bound drops no match. Texts are whole, of any length; the templates are few and
 short, so a text's cost follows its length. Null or empty text has no license. Ties
-go to the earlier template. Rows that repeat are scanned each.
+go to the longer match, then to the earlier template. Rows that repeat are scanned each.
 """
 
 from __future__ import annotations

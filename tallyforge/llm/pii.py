@@ -152,19 +152,19 @@ def _joined(spans: str) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same rows and columns; spans in ``text`` become ``[kind]``. Null text stays null."""
-    found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans").dropDuplicates(["_d", "_h"])
+    found = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__pii_d"), F.col("h").alias("__pii_h"), F.col("spans").alias("__pii_spans")).dropDuplicates(["__pii_d", "__pii_h"])
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_d"]) & (F.xxhash64(text) == found["_h"]), "left")
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__pii_d"]) & (F.xxhash64(text) == found["__pii_h"]), "left")
     name = F.array(*[F.lit(k) for k in KINDS])
-    byplace = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
+    byplace = F.array_sort(F.transform("__pii_spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
 
     def step(state: Column, x: Column) -> Column:
         piece = F.concat(state["out"], F.substring(text, state["at"] + 1, x["s"] - state["at"]), F.lit("["), F.element_at(name, x["k"]), F.lit("]"))
         return F.when(x["s"] >= state["at"], F.struct((-x["e"]).alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(state["at"], -x["e"]).alias("at"), state["out"].alias("out")))
 
     done = F.aggregate(byplace, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    fresh = F.when(F.col("spans").isNotNull(), done).otherwise(docs["text"])
-    columns = {"text": fresh} | ({"n_chars": F.when(F.col("spans").isNotNull(), F.length(fresh).cast("long")).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
+    fresh = F.when(F.col("__pii_spans").isNotNull(), done).otherwise(docs["text"])
+    columns = {"text": fresh} | ({"n_chars": F.when(F.col("__pii_spans").isNotNull(), F.length(fresh).cast("long")).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
     return joined.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
 
 
