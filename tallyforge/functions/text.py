@@ -145,5 +145,5 @@ def cast_stripped(c: Column, rounds: int = 4) -> Column:
     x = F.regexp_replace(c, r"\s+", "")
     for _ in range(rounds):
         x = F.regexp_replace(x, r"\((?:unsigned|signed|const|struct)?(?:int|char|long|short|void|byte|uint|size_t|undefined\d?|u?int\d+_t)\**\)", "")
-        x = F.regexp_replace(x, r"^\(([^()]*)\)$", "$1")
+        x = F.regexp_replace(F.regexp_replace(x, r"\(\(([^()]*)\)\)", "($1)"), r"^\(([^()]*)\)$", "$1")
     return x
