@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import records as R
 from .functions import text as X
-from .operators import dedupe, differential, graph, intervals, joins, lifecycle, metrics, scheduling
+from .operators import dedupe, differential, graph, intervals, joins, lifecycle, metrics, scheduling, selection
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -499,3 +499,75 @@ def reason_normalizer(spark: SparkSession, d: str) -> DataFrame:
 def historical_separation(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "part").where("p_size % 3 > 0").select(F.concat_ws("/", "p_brand", "p_type").alias("grp"), F.when(F.col("p_size") > 25, "vulnerable").otherwise("fixed").alias("lane"))
     return metrics.lane_separation(p, "grp", "lane", F.lit(True))
+
+
+@query("""SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 25 OFFSET 10""")
+def node_selection(spark: SparkSession, d: str) -> DataFrame:
+    return selection.skip_take(t(spark, d, "part").select("p_partkey", "p_size"), [F.desc("p_size"), F.asc("p_partkey")], 10, 25)
+
+
+@query("""SELECT p_type, p_partkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) WHERE place <= 5""")
+def top_clusters_per_class(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "part").select("p_type", "p_partkey", "p_retailprice")
+    return selection.top_per_class(p, ["p_type"], [F.desc("p_retailprice"), F.asc("p_partkey")], 5).select("p_type", "p_partkey", "place")
+
+
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS k FROM orders), g AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM f WHERE k = 1)
+    SELECT o_custkey, o_orderkey, CAST(place AS INTEGER) AS place FROM g WHERE place <= 2""")
+def replay_plan_select(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
+    return selection.unique_then_limit(o, ["o_custkey", "o_orderpriority"], ["o_custkey"], [F.asc("o_orderkey")], 2).select("o_custkey", "o_orderkey", "place")
+
+
+@query("""WITH c AS (SELECT l_quantity > 25 AS truth, p.policy, CASE p.policy WHEN 'always' THEN TRUE WHEN 'never' THEN FALSE WHEN 'discount' THEN CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_discount > 0.05 END ELSE l_linestatus = 'F' END AS v
+      FROM lineitem, (VALUES ('always'), ('never'), ('discount'), ('status')) p(policy)),
+    g AS (SELECT policy, count(*) FILTER (v AND truth) AS reported, count(*) FILTER (v AND NOT truth) AS false_positive, count(*) FILTER (NOT v AND truth) AS missed, count(*) FILTER (NOT v AND NOT truth) AS clean, count(*) FILTER (v IS NULL) AS blocked FROM c GROUP BY 1)
+    SELECT *, reported / nullif(reported + missed, 0) AS conditional_recall, false_positive / nullif(false_positive + clean, 0) AS conditional_fpr FROM g""")
+def baseline_policies(spark: SparkSession, d: str) -> DataFrame:
+    li = t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+    rules = {"always": F.lit(True), "never": F.lit(False), "discount": F.when(F.col("l_returnflag") != "N", F.col("l_discount") > 0.05), "status": F.col("l_linestatus") == "F"}
+    return selection.policies(li, rules, F.col("l_quantity") > 25)
+
+
+@query("""WITH r AS (SELECT p_partkey, p_brand, p_type AS route, p_size % 2 = 0 AS viable, p_retailprice / 100.0 * 0.5 / greatest(0.05, p_size) AS v FROM part)
+    SELECT p_brand, coalesce(max(CASE WHEN viable THEN v END), -1000000.0) AS ranking, arg_max(route, (v, route)) FILTER (viable) AS route FROM r GROUP BY 1""")
+def route_choice(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "part").select("p_brand", F.col("p_type").alias("route"), (F.col("p_size") % 2 == 0).alias("viable"), "p_retailprice", "p_size")
+    return selection.route_choice(p, "p_brand", F.col("p_retailprice") / 100.0, F.lit(0.5), F.col("p_size"))
+
+
+@query(SPANS + """ SELECT user_id, median("end" - "start") AS median, count(*) AS spans FROM sp WHERE "end" >= "start" GROUP BY 1""")
+def span_medians(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    return selection.median_spans(micros(spark, d), ["user_id"], [F.col("at"), F.col("event_id")], kind == "signup", kind == "purchase", "at")
+
+
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'candidate' WHEN 'view' THEN 'proof_ready' WHEN 'click' THEN 'proving' WHEN 'purchase' THEN 'proven' ELSE 'blocked' END AS state FROM events),
+    l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM e)
+    SELECT event_id, previous, state FROM l WHERE previous <> state AND (previous || '>' || state) NOT IN ('candidate>proof_ready', 'candidate>blocked', 'proof_ready>proving', 'proof_ready>blocked', 'proving>proven', 'proving>blocked', 'proven>blocked', 'blocked>candidate', 'blocked>proof_ready')""")
+def status_machine(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    state = F.when(kind == "signup", "candidate").when(kind == "view", "proof_ready").when(kind == "click", "proving").when(kind == "purchase", "proven").otherwise("blocked")
+    e = t(spark, d, "events").select("event_id", "user_id", "ts", state.alias("state"))
+    return selection.illegal_moves(e, ["user_id"], [F.col("ts"), F.col("event_id")], "state").select("event_id", "previous", "state")
+
+
+@query("""SELECT l_suppkey % 10 AS grp, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned, count(DISTINCT l_partkey) AS parts, median(l_quantity) AS median_quantity, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1""")
+def scale_rollup(spark: SparkSession, d: str) -> DataFrame:
+    li = t(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("grp"), "l_returnflag", "l_partkey", "l_quantity", "l_shipdate")
+    return li.groupBy("grp").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_distinct("l_partkey").alias("parts"), F.median("l_quantity").alias("median_quantity"), F.max("l_shipdate").alias("last_ship"))
+
+
+@query("""SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_totalprice > 300000""")
+def seed_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").where("o_totalprice > 300000").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    n = t(spark, d, "nation").join(t(spark, d, "region").where("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey")
+    c = t(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey"))
+    return o.join(c, "c_custkey").join(n.select("n_nationkey", "n_name"), "n_nationkey").select("o_orderkey", "c_mktsegment", "n_name")
+
+
+@query("""SELECT conv_id, array_to_string(list(role ORDER BY turn, role, text), '>') AS roles, count(*) AS turns FROM conversations GROUP BY 1""")
+def trace_construction(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    steps = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(steps, lambda x: x["role"]), ">").alias("roles"), F.count(F.lit(1)).alias("turns"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tallyforge.operators import graph, intervals, scheduling
+from tallyforge.operators import cfg, graph, intervals, scheduling, selection
 
 
 def test_bfs_ties(spark):
@@ -43,3 +43,34 @@ def test_seeded_score_matches_python(spark):
 
     want = int(hashlib.sha256(b"s\0" + b"7").hexdigest()[:16], 16) / 2**64
     assert spark.range(7, 8).select(scheduling.seeded_score("s", F.col("id")).alias("x")).first().x == want
+
+
+def test_paths_avoiding_barriers(spark):
+    blocks = spark.createDataFrame([("f", 1, [2, 3]), ("f", 2, [4]), ("f", 3, [4]), ("f", 4, [])], "function string, block int, successors array<int>")
+    asked = spark.createDataFrame([("f", 1, 1, 4, [2]), ("f", 2, 1, 4, [2, 3]), ("f", 3, 4, 1, [])], "function string, id int, source int, target int, barriers array<int>")
+    assert {r.id: r.reachable for r in cfg.paths_avoiding(blocks, asked).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_summaries_reach_callers_up_to_the_depth(spark):
+    own = spark.createDataFrame([("f0", "p", "write")], "function string, expression string, effect string")
+    sites = spark.createDataFrame([(f"f{i + 1}", f"f{i}", f"a{i}") for i in range(6)], "caller string, callee string, argument string")
+    got = cfg.propagate_summaries(own, sites, F.concat("argument", F.lit("+"), "expression"))
+    assert {r.function: r.expression for r in got.collect()} == {"f0": "p", "f1": "a0+p", "f2": "a1+a0+p", "f3": "a2+a1+a0+p", "f4": "a3+a2+a1+a0+p"}
+
+
+def test_function_ranges():
+    text = "int a(int x) {\n  if (x) { return 1; }\n  return \"}\"[0];\n}\n/* void z() { */\nvoid b(void)\n{\n}\n"
+    assert cfg.function_ranges(text) == [("a", 1, 4), ("b", 6, 8)]
+
+
+def test_selection(spark):
+    row = spark.range(1).select(
+        selection.blockers_allowed(F.array(F.lit("a")), ["a", "b"]).alias("a"), selection.blockers_allowed(F.lit(None).cast("array<string>"), []).alias("b"),
+        selection.exact_operation(F.lit("0x1A"), F.lit("0x1a")).alias("c"), selection.safe_method(F.lit("get_status")).alias("d"), selection.safe_method(F.lit("list_reset")).alias("e"),
+    ).first()
+    assert tuple(row) == (True, True, False, True, False)
+    routes = spark.createDataFrame([("c", "r1", "s", True), ("c", "r2", "s", True), ("c", "r3", "t", True), ("c", "r4", "t", False)], "candidate_id string, route string, scope string, viable boolean")
+    tries = spark.createDataFrame([("c", "r1", "s", "failed"), ("c", "r9", "s", "failed")], "candidate_id string, route string, scope string, outcome string")
+    assert [r.route for r in selection.available_routes(routes, tries).collect()] == ["r3"]
+    plan = selection.transaction_plan(spark.createDataFrame([("net",)], "object string"), spark.createDataFrame([("net", "get"), ("net", "set")], "object string, method string"), spark.createDataFrame([("net", "get", "name")], "object string, method string, argument string"))
+    assert sorted((r.method, r.argument or "") for r in plan.collect()) == [("get", ""), ("get", "name")]
