@@ -30,7 +30,7 @@ CELLS = 1 << 15
 LANGUAGES = 100
 SHARE = 0.005
 EVIDENCE = 100
-POSTERIOR = 0.6
+POSTERIOR = 0.5
 HONEST = 0.9
 HONEST_SUFFIX = 0.7
 PRIOR_WEIGHT = 20.0
