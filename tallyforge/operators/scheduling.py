@@ -86,3 +86,44 @@ def budget_schedule(df: DataFrame, keys: Sequence[str], score: str, id_col: str,
 def online_order(df: DataFrame, attempts: Column, score: Column, id_col: str) -> DataFrame:
     """Schedule order: fewer prior attempts, higher score, smaller id."""
     return df.orderBy(attempts.asc(), score.desc(), F.col(id_col).asc())
+
+
+def transaction_schedule(df: DataFrame, keys: Sequence[str], policy: str, wall: float = 0.0, cpu: float = 0.0) -> DataFrame:
+    """Order of variants under wall and CPU budgets (0: none), scored anew after every choice.
+
+    Columns: variant_id, method, setup_key, distance, fields, seconds, cpu_seconds, reaches.
+    Policies: fixed (input order by id), cheapest, utility (reach 0), adaptive (a method's last
+    measured reach feeds its later variants). A variant that does not fit is passed over for good.
+    A schedule is sequential by definition; schedules of different keys run in parallel.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "variant_id"]) + ", step long, score double, setup_reused boolean, spent_wall double, spent_cpu double"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows.sort_values("variant_id", kind="stable").to_dict("records")
+        warm: set = set()
+        reach: dict = {}
+        spent, used, out = 0.0, 0.0, []
+
+        def score(r: dict) -> float:
+            if policy == "fixed":
+                return 0.0
+            if policy == "cheapest":
+                return -r["seconds"]
+            near = 0.0 if r["distance"] is None or r["distance"] != r["distance"] or r["distance"] < 0 else 4.0 / (1.0 + r["distance"])
+            seen = reach.get(r["method"], 0) if policy == "adaptive" else 0
+            return (near + 2.0 / (1.0 + r["fields"]) + 2.0 * (r["setup_key"] in warm) + min(4.0, 1.5 * seen)) / max(0.05, r["seconds"])
+
+        while left:
+            best = min(left, key=lambda r: (-score(r), r["variant_id"]))
+            left.remove(best)
+            if (wall > 0 and spent + best["seconds"] > wall) or (cpu > 0 and used + best["cpu_seconds"] > cpu):
+                continue
+            value, reused = score(best), best["setup_key"] in warm
+            spent, used = spent + best["seconds"], used + best["cpu_seconds"]
+            warm.add(best["setup_key"])
+            reach[best["method"]] = best["reaches"]
+            out.append((*(best[k] for k in keys), best["variant_id"], len(out) + 1, value, reused, spent, used))
+        return pd.DataFrame(out, columns=[*keys, "variant_id", "step", "score", "setup_reused", "spent_wall", "spent_cpu"])
+
+    return df.groupBy(*keys).applyInPandas(run, schema)

@@ -74,3 +74,25 @@ def test_selection(spark):
     assert [r.route for r in selection.available_routes(routes, tries).collect()] == ["r3"]
     plan = selection.transaction_plan(spark.createDataFrame([("net",)], "object string"), spark.createDataFrame([("net", "get"), ("net", "set")], "object string, method string"), spark.createDataFrame([("net", "get", "name")], "object string, method string, argument string"))
     assert sorted((r.method, r.argument or "") for r in plan.collect()) == [("get", ""), ("get", "name")]
+
+
+def test_transaction_schedule(spark):
+    rows = [("a", "m1", "s1", 0, 1, 1.0, 1.0, 3), ("b", "m1", "s1", 5, 1, 1.0, 1.0, 0), ("c", "m2", "s2", 1, 1, 1.0, 1.0, 0), ("d", "m3", "s1", -1, 0, 5.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "variant_id string, method string, setup_key string, distance int, fields int, seconds double, cpu_seconds double, reaches int").withColumn("pool", F.lit(0))
+    order = lambda p, wall=0.0: [r.variant_id for r in scheduling.transaction_schedule(df, ["pool"], p, wall).orderBy("step").collect()]
+    assert order("fixed") == ["a", "b", "c", "d"] and order("cheapest", 2.1) == ["a", "b"]
+    assert order("utility") == ["a", "b", "c", "d"] and order("adaptive")[:2] == ["a", "b"]
+
+
+def test_dimensions_and_regions(spark):
+    from tallyforge.sources import dims
+
+    tax = spark.createDataFrame([("x", "memory"), ("x", "memory"), ("y", None), ("z", "odd")], "name string, backend string")
+    got = {(r.key, r.fault) for r in dims.dimension_faults(tax, "name", ["backend"], {"backend": ["memory"]}).collect()}
+    assert got == {("x", "duplicate"), ("y", "missing:backend"), ("y", "domain:backend"), ("z", "domain:backend")}
+    assert dims.selection_faults(tax, ["memory"], ["x", "z", "q"]) == ["q", "z"]
+    text = "int f() {\n  char buf[0x20];\n  unsigned int n[4];\n}"
+    declared = dims.declared_arrays(spark.createDataFrame([("f", text)], "name string, text string"))
+    assert {(r.var_name, r.size_bytes) for r in declared.collect()} == {("buf", 32), ("n", 16)}
+    regions = spark.createDataFrame([("f", -64, 8, "buf"), ("f", -32, 4, "n"), ("f", -20, 4, "i")], "function string, start_offset int, size_bytes long, var_name string")
+    assert {(r.var_name, r.size_bytes) for r in dims.repaired_regions(regions, declared).collect()} == {("buf", 32), ("n", 12), ("i", 4)}
