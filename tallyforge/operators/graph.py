@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint where a folder is set; else an eager local cache."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined() or sc.getConf().get("spark.checkpoint.dir"):
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
-        return df.checkpoint(eager=True)
-    out = df.cache()
-    out.count()
-    return out
+    """Checkpoints in the folder of spark.checkpoint.dir (the warehouse where it is unset)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return df.checkpoint(eager=True)
 
 
 def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 16) -> DataFrame:
