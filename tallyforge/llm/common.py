@@ -7,6 +7,8 @@ so memory follows the longest single text and not the batch.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text handled at once in a worker.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: A small side is broadcast only when it has at most so many rows.
 BROADCAST_ROWS = 50_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -26,6 +28,14 @@ _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def worker_cache(owner: str) -> dict:
+    """What a worker process keeps between tasks; only one operator's at a time."""
+    kept = sys.modules.setdefault("_tallyforge_kept", types.ModuleType("_tallyforge_kept")).__dict__
+    for name in [x for x in kept if not x.startswith("__") and x != owner]:
+        del kept[name]
+    return kept.setdefault(owner, {})
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values."""
     x = x ^ (x >> U64(30))

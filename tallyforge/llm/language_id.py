@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, join_checked, shared_checkpoint, slices, table, text_buffer
+from .common import U64, join_checked, shared_checkpoint, slices, table, text_buffer, worker_cache
 
 CELLS = 1 << 15
 LANGUAGES = 100
@@ -61,6 +61,7 @@ def count_texts(languages: list[str]):
     known = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language_id")
         total = np.zeros(len(languages) * CELLS, np.int64)
         for batch in batches:
             data, offsets = text_buffer(batch["text"])

@@ -21,8 +21,6 @@ null doc_ids, are rows of their content's node; a class of null ids only has a n
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix, shared_checkpoint, slices, table, text_buffer, window_starts, word_hashes
+from .common import U64, Rolling, mix, shared_checkpoint, slices, table, text_buffer, window_starts, word_hashes, worker_cache
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -71,6 +69,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("near_dedup")
     total, rows = np.zeros(1 << CELL_BITS, np.int64), 0
     for batch in batches:
         rows += batch.num_rows
@@ -103,7 +102,7 @@ def weights(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray
 
 def _pool() -> dict:
     """Variates of the sampler, and for each weight level the packed (ln a, t) of each."""
-    kept = sys.modules.setdefault("_cws_pool", types.ModuleType("_cws_pool")).__dict__
+    kept = worker_cache("near_dedup")
     if "r" not in kept:
         rng = np.random.default_rng(SEED)
         kept |= {"r": rng.gamma(2, 1, 1 << 16), "c": np.log(rng.gamma(2, 1, 1 << 16)), "b": rng.random(1 << 16), "levels": {}}

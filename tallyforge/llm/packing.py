@@ -16,8 +16,6 @@ repeat are packed each. A sequence whose length is a power of two needs no paddi
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, table
+from .common import parts_for, table, worker_cache
 
 SEQUENCE = 2048
 END_ID = 1
@@ -75,7 +73,7 @@ class PieceCodec:
 
 def _codec(path: str) -> PieceCodec:
     """One codec for each worker process."""
-    kept = sys.modules.setdefault("_piece_codecs", types.ModuleType("_piece_codecs")).__dict__
+    kept = worker_cache("packing")
     if path not in kept:
         kept[path] = PieceCodec(path)
     return kept[path]
