@@ -182,7 +182,6 @@ def link_block(idf, least: float):
         nodes = nodes.combine_chunks()
         c = nodes["c"].to_numpy()
         comp = np.unique(nodes["comp"].to_numpy(), return_inverse=True)[1]
-        side = nodes["side"].to_numpy()
         keys, counts, first, _ = shingles(nodes["text"])
         w = weights(keys, counts, idf.value)
         row, h = (keys >> U64(48)).astype(np.int64), keys & U64(LOW48)
@@ -192,9 +191,7 @@ def link_block(idf, least: float):
         begin, end = np.searchsorted(post_h, h, "left"), np.searchsorted(post_h, h, "right")
         parent = comp.copy()  # of each node's component, by its current root
         links, largest = [], np.bincount(comp).argmax()
-        for x in np.flatnonzero((comp != largest) | (side == 0)):
-            if comp[x] == largest and not (side == 1).any():
-                continue
+        for x in np.flatnonzero(comp != largest):
             mine = slice(first[x], first[x + 1])
             size = end[mine] - begin[mine]
             if not size.sum():
@@ -257,7 +254,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     comps = components(links)
     placed = member.where("members > 2").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     mixed = placed.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("b")
-    rest = shared_checkpoint(placed.join(mixed, "b").select("b", "members", "c", "comp"))
+    rest = shared_checkpoint(placed.join(mixed, "b").select("b", "c", "comp"))
     if rest.head(1):
         links = links.unionByName(_within(rest, known, idf, least))
         comps = components(links)
@@ -270,23 +267,24 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def _within(rest: DataFrame, known: DataFrame, idf, least: float) -> DataFrame:
-    """Links inside buckets, block against block; a block pair within one component is left out.
+    """Links inside buckets, block against block; blocks of a bucket's largest component skip each other.
 
-    Blocks follow the order of (component, node), which costs one window over a
-    bucket's narrow rows; texts join afterwards.
+    A node's block is a hash of it, among the blocks of the largest component or of the
+    others, so a bucket of any size is spread without an order over its rows.
     """
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("b").orderBy("comp", "c")) - 1
-    placed = shared_checkpoint(rest.withColumn("block", F.floor(place / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")))
-    spans = placed.groupBy("b", "blocks", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    one = spans.select("b", "block", "blocks", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    two = spans.select("b", F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = one.join(two, ["b", "other"]).where("block <= other").where(~((F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))))
-    sides = pairs.select("b", "block", "other", F.explode(F.when(F.col("block") == F.col("other"), F.array(F.struct(F.col("block").alias("own"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("block").alias("own"), F.lit(0).alias("side")), F.struct(F.col("other").alias("own"), F.lit(1).alias("side"))))).alias("x"))
-    sides = sides.select("b", "block", "other", F.col("x.own").alias("own"), F.col("x.side").alias("side"))
-    rows = placed.select("b", F.col("block").alias("own"), "c", "comp").join(sides, ["b", "own"]).join(known, "c")
-    return rows.select("b", "block", "other", "side", "c", "comp", "text").groupBy("b", "block", "other").applyInArrow(link_block(idf, least), "u long, v long")
+    sizes = rest.groupBy("b", "comp").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("b").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    whole = shared_checkpoint(whole.select("b", "main", blocks(F.col("inside")).alias("own"), blocks(F.col("n") - F.col("inside")).alias("others")))
+    spot = F.xxhash64("c", "b")
+    block = F.when(F.col("comp") == F.col("main"), F.pmod(spot, F.col("own"))).otherwise(F.col("own") + F.pmod(spot, F.col("others"))).cast("int")
+    placed = rest.join(whole, "b").select("b", "c", "comp", block.alias("block"))
+    last = F.col("own") + F.col("others") - 1
+    pairs = whole.select("b", "own", "others", F.explode(F.sequence(F.lit(0), last)).alias("x"))
+    pairs = pairs.select("b", "x", F.explode(F.sequence(F.greatest("x", "own"), last)).alias("y"))
+    sides = pairs.select("b", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    rows = placed.join(sides, ["b", "block"]).join(known, "c")
+    return rows.select("b", "x", "y", "c", "comp", "text").groupBy("b", "x", "y").applyInArrow(link_block(idf, least), "u long, v long")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
