@@ -140,6 +140,20 @@ def unpack40(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted distinct 32-bit values as differences: three bytes each if all fit, else four."""
+    gaps = np.diff(values, prepend=U64(0)).astype("<u4")
+    width = 3 if not len(gaps) or gaps.max() < 1 << 24 else 4
+    return bytes([width]) + gaps.view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    out = np.zeros((len(blob) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(out.reshape(-1).view("<u4"), dtype=U64)
+
+
 def spread(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """A shard below ``shards`` and a 40-bit rest for each 64-bit hash."""
     return ((h >> U64(32)) * U64(shards)) >> U64(32), h & U64((1 << 40) - 1)
