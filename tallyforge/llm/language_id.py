@@ -3,9 +3,10 @@
 log P(l | document) = text + log P(declared | l) + log P(suffix | l) + log P(l | host).
 
 Text: byte trigrams in ``CELLS`` hashed cells per language, counted over all rows with
-a declared language; the table's size depends on the number of languages alone, which
-is at most ``LANGUAGES`` (those that at least ``SHARE`` of the rows declare). Trigrams of one
-text are dependent, so a text counts as at most ``EVIDENCE`` of them.
+a declared language. Every declared language is modelled, however rare: counts are a
+table keyed by language and cell, and workers hold ``BLOCK`` languages at a time, so only
+the time grows with their number. Trigrams of one text are dependent, so a text counts
+as at most ``EVIDENCE`` of them.
 Host: declared languages per host are smoothed towards the host's parent domain, and
 those towards the whole, by grouped sums; the table of hosts is broadcast only when few.
 
@@ -21,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, join_checked, shared_checkpoint, slices, table, text_buffer, worker_cache
 
 CELLS = 1 << 15
-LANGUAGES = 100
-SHARE = 0.005
+#: Languages whose trigram tables a worker holds at once.
+BLOCK = 64
 EVIDENCE = 100
 POSTERIOR = 0.5
 HONEST = 0.9
@@ -57,72 +60,103 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return cell, good
 
 
-def count_texts(languages: list[str]):
-    known = {x: i for i, x in enumerate(languages)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache("language_id")
-        total = np.zeros(len(languages) * CELLS, np.int64)
-        for batch in batches:
-            data, offsets = text_buffer(batch["text"])
-            label = np.array([known.get(x, -1) for x in batch["declared"].to_pylist()])
-            for a, b in slices(offsets):
-                own = offsets[a : b + 1] - offsets[a]
-                cell, good = trigrams(data[offsets[a] : offsets[b]], own)
-                lang = np.repeat(label[a:b], np.diff(own))
-                good &= lang >= 0
-                total += np.bincount(lang[good] * CELLS + cell[good], minlength=len(total))
-        yield pa.record_batch({"language": pa.array(range(len(languages)), pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for x in total.reshape(len(languages), CELLS)], pa.binary())})
-
-    return run
-
-
-def add_counts(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i8") for x in parts["counts"])
-    return pa.table({"language": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-
-def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """log P(cell | language), one row per language."""
-    parts = rows.select("text", "declared").mapInArrow(count_texts(languages), "language int, counts binary")
-    counts = np.zeros((len(languages), CELLS))
-    for r in parts.groupBy("language").applyInArrow(add_counts, "language int, counts binary").collect():
-        counts[r.language] = np.frombuffer(r["counts"], "<i8")
-    return np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * CELLS))
-
+def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """declared, cell, n: sums of at most ``BLOCK`` languages are held, then sent on."""
+    worker_cache("language_id")
+    held: dict[str, np.ndarray] = {}
+
+    def sums() -> pa.RecordBatch:
+        cells = {x: np.flatnonzero(c) for x, c in held.items()}
+        n = [held[x][at] for x, at in cells.items()]
+        names = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(held)), [len(x) for x in n]).astype(np.int32), pa.array(list(held), pa.string()))
+        return pa.record_batch({"declared": names.cast(pa.string()), "cell": pa.array(np.concatenate(list(cells.values())), pa.int32()), "n": pa.array(np.concatenate(n), pa.int64())})
+
+    for batch in batches:
+        data, offsets = text_buffer(batch["text"])
+        said = batch["declared"].to_pylist()
+        for a, b in slices(offsets):
+            own = offsets[a : b + 1] - offsets[a]
+            cell, good = trigrams(data[offsets[a] : offsets[b]], own)
+            names = sorted(set(said[a:b]))
+            index = {x: i for i, x in enumerate(names)}
+            lang = np.repeat([index[x] for x in said[a:b]], np.diff(own))[good]
+            cell = cell[good]
+            for lo in range(0, len(names), BLOCK):
+                some = names[lo : lo + BLOCK]
+                if len(held.keys() | set(some)) > BLOCK:
+                    yield sums()
+                    held.clear()
+                here = slice(None) if len(names) <= BLOCK else (lang >= lo) & (lang < lo + BLOCK)
+                got = np.bincount((lang[here] - lo) * CELLS + cell[here], minlength=len(some) * CELLS).reshape(len(some), CELLS)
+                for x, c in zip(some, got, strict=True):
+                    held[x] = held[x] + c if x in held else c.copy()
+    if held:
+        yield sums()
+
+
+def text_model(rows: DataFrame, languages: list[str]) -> list[Broadcast]:
+    """log P(cell | language), one row per language, in blocks of ``BLOCK`` languages."""
+    parts = rows.select("text", "declared").mapInArrow(count_texts, "declared string, cell int, n long")
+    table = shared_checkpoint(parts.groupBy("declared", "cell").agg(F.sum("n").alias("n")))
+    out = []
+    for lo in range(0, len(languages), BLOCK):
+        some = languages[lo : lo + BLOCK]
+        got = table.where(F.col("declared").isin(some)).toArrow()
+        at = pc.index_in(got["declared"], pa.array(some, pa.string())).to_numpy()
+        counts = np.zeros((len(some), CELLS))
+        counts[at, got["cell"].to_numpy()] = got["n"].to_numpy()
+        model = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * CELLS))
+        out.append(rows.sparkSession.sparkContext.broadcast(model.astype(np.float32)))
+    return out
+
+
+def host_counts(rows: DataFrame) -> DataFrame:
+    """host, its declared languages and its parent's, each array<struct<declared, n>>."""
+    ours = rows.where("declared IS NOT NULL AND host IS NOT NULL")
+    each = shared_checkpoint(ours.groupBy("host", "parent", "declared").agg(F.count(F.lit(1)).alias("n")))
+    pair = F.collect_list(F.struct("declared", "n"))
+    hosts = each.groupBy("host", "parent").agg(pair.alias("seen"))
+    parents = each.groupBy("parent", "declared").agg(F.sum("n").alias("n")).groupBy("parent").agg(pair.alias("above"))
+    return join_checked(shared_checkpoint(hosts), shared_checkpoint(parents), ["parent"]).select("host", "seen", "above")
+
+
+class Counts:
+    """Counts of languages per host of a slice, of which blocks of columns are asked for."""
+
+    def __init__(self, entries: list, index: dict[str, int]):
+        flat = [(i, index[x["declared"]], x["n"]) for i, e in enumerate(entries) for x in e or []]
+        self.host, self.lang, self.n = np.array(flat, np.int64).reshape(-1, 3).T
+        self.total = np.bincount(self.host, self.n, len(entries))[:, None]
+
+    def block(self, lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((len(self.total), hi - lo))
+        here = (self.lang >= lo) & (self.lang < hi)
+        out[self.host[here], self.lang[here] - lo] = self.n[here]
+        return out
 
-def host_priors(rows: DataFrame, languages: list[str]) -> tuple[list[float], DataFrame]:
-    """The whole's prior, and host, parent, prior (array in the order of ``languages``)."""
-    ours = rows.where(F.col("declared").isin(languages))
-    sums = [F.count_if(F.col("declared") == x).alias(f"n{i}") for i, x in enumerate(languages)]
-    hosts = shared_checkpoint(ours.where("host IS NOT NULL").groupBy("host", "parent").agg(*sums))
-    n = [F.col(f"n{i}") for i in range(len(languages))]
-    got = ours.agg(*sums).first()
-    whole = [(got[f"n{i}"] + 1) / (sum(got) + len(languages)) for i in range(len(languages))]
-    total = lambda xs: sum(xs, F.lit(0))
-    parents = hosts.groupBy("parent").agg(*[F.sum(x).alias(f"n{i}") for i, x in enumerate(n)])
-    smooth = F.array(*[(x + PRIOR_WEIGHT * w) / (total(n) + PRIOR_WEIGHT) for x, w in zip(n, whole, strict=True)])
-    parents = shared_checkpoint(parents.select("parent", smooth.alias("above")))
-    joined = join_checked(hosts, parents, ["parent"])
-    prior = F.array(*[(x + PRIOR_WEIGHT * F.get("above", F.lit(i))) / (total(n) + PRIOR_WEIGHT) for i, x in enumerate(n)])
-    return whole, joined.select("host", prior.alias("prior"))
+    def smooth(self, lo: int, hi: int, above: np.ndarray) -> np.ndarray:
+        return (self.block(lo, hi) + PRIOR_WEIGHT * above) / (self.total + PRIOR_WEIGHT)
 
 
-def fuse(languages: list[str], model, whole: list[float], keep: list[str]):
+def fuse(languages: list[str], model: list[Broadcast], whole: np.ndarray, keep: list[str]):
     names = ["language", "posterior", "letters"]
     index = {x: i for i, x in enumerate(languages)}
     n = len(languages)
 
-    def told(values: list, honest: float) -> np.ndarray:
-        out = np.zeros((len(values), n))
-        for i, v in enumerate(values):
-            if v in index and n > 1:
-                out[i] = np.log((1 - honest) / (n - 1))
-                out[i, index[v]] = np.log(honest)
-        return out
+    def told(values: list, honest: float):
+        at = np.array([index.get(x, -1) for x in values])
+
+        def block(lo: int, hi: int) -> np.ndarray:
+            out = np.zeros((len(at), hi - lo))
+            if n > 1:
+                out[at >= 0] = np.log((1 - honest) / (n - 1))
+                here = np.flatnonzero((at >= lo) & (at < hi))
+                out[here, at[here] - lo] = np.log(honest)
+            return out
+
+        return block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely = model.value
         for batch in batches:
             data, offsets = text_buffer(batch["text"])
             for a, b in slices(offsets):
@@ -131,14 +165,27 @@ def fuse(languages: list[str], model, whole: list[float], keep: list[str]):
                 at = np.concatenate([[0], np.cumsum(good)])[own]
                 count = np.diff(at)
                 cell = cell[good]
-                text = np.stack([np.diff(np.concatenate([[0], np.cumsum(x[cell])])[at]) for x in likely], axis=1)
-                text *= (np.minimum(count, EVIDENCE) / np.maximum(count, 1))[:, None]
-                prior = np.log(np.array([x or whole for x in part["prior"].to_pylist()]).reshape(-1, n))
-                total = text + prior + told(part["declared"].to_pylist(), HONEST) + told([SUFFIXES.get(x) for x in part["suffix"].to_pylist()], HONEST_SUFFIX)
-                total = np.exp(total - total.max(axis=1, keepdims=True))
-                total /= total.sum(axis=1, keepdims=True)
-                best = total.argmax(axis=1)
-                fresh = [pa.array([languages[i] for i in best], pa.string()), pa.array(total.max(axis=1)), pa.array(count, pa.int64())]
+                weight = (np.minimum(count, EVIDENCE) / np.maximum(count, 1))[:, None]
+                first: dict[str | None, int] = {}
+                for i, x in enumerate(part["host"].to_pylist()):
+                    first.setdefault(x, i)
+                slot = {x: i for i, x in enumerate(first)}
+                host = np.array([slot[x] for x in part["host"].to_pylist()])
+                seen, above = [Counts([part[c][i].as_py() for i in first.values()], index) for c in ("seen", "above")]
+                declared, suffix = told(part["declared"].to_pylist(), HONEST), told([SUFFIXES.get(x) for x in part["suffix"].to_pylist()], HONEST_SUFFIX)
+                top, mass, best = np.full(len(count), -np.inf), np.zeros(len(count)), np.zeros(len(count), np.int64)
+                for lo, shared in zip(range(0, n, BLOCK), model, strict=True):
+                    likely = shared.value
+                    hi = lo + len(likely)
+                    total = np.stack([np.diff(np.concatenate([[0], np.cumsum(x[cell], dtype=np.float64)])[at]) for x in likely], axis=1) * weight
+                    total += np.log(seen.smooth(lo, hi, above.smooth(lo, hi, whole[lo:hi])))[host] + declared(lo, hi) + suffix(lo, hi)
+                    most = np.maximum(top, total.max(axis=1))
+                    best = np.where(total.max(axis=1) > top, lo + total.argmax(axis=1), best)
+                    mass = mass * np.exp(top - most) + np.exp(total - most[:, None]).sum(axis=1)
+                    top = most
+                    if n > BLOCK and shared._path:  # the next use reads the file again
+                        del shared._value
+                fresh = [pa.array([languages[i] for i in best], pa.string()), pa.array(1 / mass), pa.array(count, pa.int64())]
                 yield pa.record_batch([part[c] for c in keep] + fresh, names=keep + names)
 
     return run
@@ -150,19 +197,16 @@ def identify(rows: DataFrame, keep_text: bool = False) -> DataFrame:
     With ``keep_text`` the text comes back too, after ``row``.
     """
     keep = ["row", "text"] if keep_text else ["row"]
-    spark = rows.sparkSession
     said = rows.where("declared IS NOT NULL")
-    counted = said.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()
-    total = sum(r.n for r in counted)
-    languages = sorted(r.declared for r in counted if r.n >= SHARE * total)
+    counted = {r.declared: r.n for r in said.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(counted)
     if not languages:
         return rows.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
-    model = spark.sparkContext.broadcast(text_model(said, languages).astype(np.float32))
-    whole, hosts = host_priors(rows, languages)
-    joined = join_checked(rows, shared_checkpoint(hosts), ["host"]).select("row", "text", "declared", "suffix", "host", "prior")
+    n = np.array([counted[x] for x in languages])
+    joined = join_checked(rows, shared_checkpoint(host_counts(rows)), ["host"]).select("row", "text", "declared", "suffix", "host", "seen", "above")
     kind = dict(rows.dtypes)["row"]
     shape = f"row {kind}, " + ("text string, " if keep_text else "") + "language string, posterior double, letters long"
-    out = joined.mapInArrow(fuse(languages, model, whole, keep), shape)
+    out = joined.mapInArrow(fuse(languages, text_model(said, languages), (n + 1) / (n.sum() + len(n)), keep), shape)
     return out.select(*keep, "language", "posterior", ((F.col("letters") > 0) & (F.col("posterior") >= POSTERIOR)).alias("kept"))
 
 

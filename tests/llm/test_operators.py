@@ -297,6 +297,24 @@ def test_language_id(spark, docs, edge, empty):
     assert all(r.host.endswith(r.suffix) and r.host.endswith(r.parent) and r.declared for r in seen)
 
 
+def test_language_id_models_every_declared_language(spark, docs):
+    rare = [(10**6 + i, f"{''.join(chr(0x10D0 + (7 * i + j) % 33) for j in range(9))} " * 20, "ka", "src0", 200) for i in range(8)]
+    many = docs.unionByName(docs.where("lang = 'en'").crossJoin(spark.range(80)).drop("id"))
+    both = many.unionByName(spark.createDataFrame(rare, docs.schema))
+    assert both.count() * 0.005 > len(rare)
+    out = language_id.identify(language_id.document_evidence(both, F.struct("doc_id", "lang"))).select("row.*", "language", "kept").collect()
+    assert all(r.language == "ka" and r.kept for r in out if r.lang == "ka") and sum(r.lang == "ka" for r in out) == len(rare)
+
+
+def test_language_blocks_agree(spark, docs, monkeypatch):
+    rows = language_id.document_evidence(docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 40).cast("string"))), F.struct("doc_id"))
+    got = []
+    for block in (64, 200, 7):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        got.append({r.doc_id: (r.language, round(r.posterior, 6), r.kept) for r in language_id.identify(rows).select("row.doc_id", "language", "posterior", "kept").collect()})
+    assert rows.select("declared").distinct().count() > 64 and got[0] == got[1] == got[2]
+
+
 @pytest.mark.parametrize("name", ["edge", "docs", "empty"])
 def test_mixing(name, request):
     df = request.getfixturevalue(name)
