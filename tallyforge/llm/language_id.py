@@ -216,16 +216,21 @@ def document_evidence(docs: DataFrame, row: Column) -> DataFrame:
     return docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), parent.alias("parent"))
 
 
-def page_evidence(pages: DataFrame) -> DataFrame:
+def page_evidence(pages: DataFrame, row: Column | None = None) -> DataFrame:
     """pages: the markup's lang attribute, the address's suffix and its host. Tags are no text."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
     host = F.when(F.length(host) > 0, host)
     said = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
-    return pages.select(F.struct("page_id").alias("row"), text.alias("text"), F.when(F.length(said) > 0, said).alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), host.alias("host"), F.substring_index(host, ".", -2).alias("parent"))
+    row = F.struct("page_id") if row is None else row
+    return pages.select(row.alias("row"), text.alias("text"), F.when(F.length(said) > 0, said).alias("declared"), F.substring_index(host, ".", -1).alias("suffix"), host.alias("host"), F.substring_index(host, ".", -2).alias("parent"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages, judged together; ``kind`` tells them apart."""
+    none, kind = F.lit(None).cast("long"), F.lit("document")
     docs = table(spark, sf_dir, "documents")
-    out = identify(document_evidence(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("declared"))))
-    return out.select("row.doc_id", "row.declared", "language", "posterior", "kept")
+    docs = document_evidence(docs, F.struct(kind.alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id")))
+    pages = page_evidence(table(spark, sf_dir, "pages"), F.struct(F.lit("page").alias("kind"), none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id")))
+    out = identify(docs.unionByName(pages).withColumn("row", F.struct("row.*", "declared")))
+    return out.select("row.doc_id", "row.declared", "language", "posterior", "kept", "row.kind", "row.page_id")

@@ -306,6 +306,17 @@ def test_language_id_models_every_declared_language(spark, docs):
     assert all(r.language == "ka" and r.kept for r in out if r.lang == "ka") and sum(r.lang == "ka" for r in out) == len(rare)
 
 
+def test_language_id_judges_pages_by_all_evidence(spark, docs):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    out = language_id.op8_language_id(spark, SF).collect()
+    assert sorted(r.doc_id for r in out if r.kind == "document") == sorted(r.doc_id for r in docs.collect())
+    assert sorted(r.page_id for r in out if r.kind == "page") == sorted(r.page_id for r in pages.collect())
+    assert all(r.language == r.declared and r.kept for r in out if r.kind == "page")
+    rows = language_id.page_evidence(spark.createDataFrame([(i, f"http://{'a.de' if i % 2 else 'b.fr'}/{i}", f"<html lang={['fr', 'de'][i % 2]}>{prose(i, 20)}") for i in range(40)] + [(90, "http://c.de/1", "<p>oak</p>"), (91, "http://c.fr/1", "<p>oak</p>")], pages.select("page_id", "url", "html").schema))
+    got = {r.page_id: r.language for r in language_id.identify(rows).select("row.page_id", "language").collect()}
+    assert got[90] == "de" and got[91] == "fr"
+
+
 def test_language_blocks_agree(spark, docs, monkeypatch):
     rows = language_id.document_evidence(docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 40).cast("string"))), F.struct("doc_id"))
     got = []
