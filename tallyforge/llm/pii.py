@@ -1,15 +1,19 @@
 """Personal data: fixed base detectors, and bootstrapped contextual extraction on top.
 
 DataFrame functions only. One scan of the texts yields a small table: the base spans
-of each document, and its other identifier-like tokens (words with a digit), each
-with the word before and after. Everything else works on that table.
+of each document, and its other identifier-like tokens, each with the word before and
+after. Those are words with a digit, an at sign (also spelled) or a separator between
+letters, and runs of several words: groups of digits, and addresses with spelled signs.
+Everything else works on that table.
 
 Bootstrapping: base spans are seed instances. A lexical pattern is a neighbouring
 word on one side. Patterns and distinct instances form a bipartite graph; in each of
 ``ROUNDS`` rounds a pattern's confidence in a kind is the share of its instances'
-scores for that kind (one more in the denominator), and an instance's score is the
-noisy-or of its trusted patterns. Tokens that end with a score of ``TRUST`` or more
-join the document's spans under that kind.
+scores for that kind, where instances of other kinds count in full, those not known to
+be of any kind as ``UNKNOWN`` each, and one more is added to the denominator. An
+instance's score is the noisy-or of its trusted patterns; found instances are known in
+the next round. Tokens that end with a score of ``TRUST`` or more join the document's
+spans under that kind, unless they lie in a longer one.
 
 Null text counts as empty. Rows with equal doc_id and text get the same spans. Spans
 are in code points, end exclusive.
@@ -32,23 +36,33 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+TOKEN = r"(?<!\S)\S*?(?:[0-9@]|[(\[{](?i:at)[)\]}]|\p{L}[._+:/-]\p{L})\S*+"
+_NAME, _AT, _DOT = r"[A-Za-z0-9._%+-]++", r"(?i:at)", r"\s[(\[{]?(?i:dot)[)\]}]?\s"
+RUN = (
+    r"(?<!\S)(?:[+(]?[0-9][0-9().:/-]*+(?:[\x20\t][+(]?[0-9][0-9().:/-]*+(?!\S))++"
+    rf"|{_NAME}\s(?:[(\[{{]{_AT}[)\]}}]\s[A-Za-z0-9.-]++(?:{_DOT}[A-Za-z0-9-]++)*+|{_AT}\s[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++))"
+)
 ROUNDS = 3
 TRUST = 0.9
 SUPPORT = 5
+UNKNOWN = 0.05
 
 
 def _located(text: Column, pattern: str) -> Column:
     """array<struct<m, s, e>>: matches with their places; the pieces between give the places."""
-    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pair = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast("array<struct<m:string,s:int,e:int>>").alias("out"), F.lit(2).alias("k"))
+    empty = F.array().cast("array<struct<m:string,s:int,e:int>>")
 
-    def add(state: Column, m: Column) -> Column:
-        end = state["at"] + F.length(m)
-        nxt = F.coalesce(F.length(F.try_element_at(pieces, state["k"])), F.lit(0))
-        return F.struct((end + nxt).alias("at"), F.concat(state["out"], F.array(F.struct(m.alias("m"), state["at"].alias("s"), end.alias("e")))).alias("out"), (state["k"] + 1).alias("k"))
+    def places(x: Column) -> Column:
+        def add(state: Column, m: Column) -> Column:
+            end = state["at"] + F.length(m)
+            nxt = F.coalesce(F.length(F.try_element_at(x["pieces"], state["k"])), F.lit(0))
+            return F.struct((end + nxt).alias("at"), F.concat(state["out"], F.array(F.struct(m.alias("m"), state["at"].alias("s"), end.alias("e")))).alias("out"), (state["k"] + 1).alias("k"))
 
-    found = F.aggregate(matches, pair, add)["out"]
+        return F.aggregate(x["matches"], F.struct(F.length(F.element_at(x["pieces"], 1)).alias("at"), empty.alias("out"), F.lit(2).alias("k")), add)["out"]
+
+    # Bound to a lambda's variable, the text is cut once and not once for each match.
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("pieces"))
+    found = F.element_at(F.transform(F.array(both), places), 1)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<m:string,s:int,e:int>>"))
 
 
@@ -92,7 +106,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         out = out.withColumn(kind, F.filter(f"raw_{kind}", _check(kind)))
     every = F.flatten(F.array(*[F.col(k) for k in KINDS]))
-    out = out.withColumn("tokens", _located(text, TOKEN)).withColumn("_base", every)
+    out = out.withColumn("one", _located(text, TOKEN)).withColumn("run", _located(text, RUN)).withColumn("tokens", F.array_distinct(F.concat("one", "run"))).withColumn("_base", every)
     out = out.withColumn("others", F.filter("tokens", lambda t: ~F.exists("_base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
 
     def context(kind: Column):
@@ -122,8 +136,11 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, su
     loose, found = edges.where("kind IS NULL").select("inst", "ctx"), None
     for _ in range(rounds):
         scored = seeds if found is None else seeds.unionByName(loose.join(found, "inst").select("ctx", "kind", "score"))
-        rated = scored.groupBy("ctx", "kind").agg(F.sum("score").alias("mass")).join(total, "ctx")
-        patterns = rated.select("ctx", "kind", (F.col("mass") / (F.col("total") + 1)).alias("conf"), "mass").where((F.col("conf") >= trust) & (F.col("mass") >= support))
+        sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in KINDS]
+        rated = scored.groupBy("ctx").agg(*sums, F.count(F.lit(1)).alias("known")).join(total, "ctx")
+        every = sum([F.col(k) for k in KINDS], UNKNOWN * (F.col("total") - F.col("known")) + 1)
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("mass"), (F.col(k) / every).alias("conf")) for k in KINDS]))
+        patterns = rated.select("ctx", each.alias("x")).select("ctx", "x.*").where((F.col("conf") >= trust) & (F.col("mass") >= support))
         miss = F.sum(F.log(1 - F.col("conf")))
         found = loose.join(patterns, "ctx").groupBy("inst", "kind").agg((1 - F.exp(miss)).alias("score")).where(F.col("score") >= trust)
         best = F.max_by("kind", F.struct("score", F.array_position(ways, F.col("kind")))).alias("kind")
@@ -138,6 +155,8 @@ def find(docs: DataFrame) -> DataFrame:
     extra = scanned.select("doc_id", "h", F.explode("seen").alias("x")).where("x.kind IS NULL").select("doc_id", "h", F.col("x.m").alias("inst"), "x.s", "x.e").join(found, "inst")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     extra = extra.groupBy("doc_id", "h").agg(F.collect_set(F.struct(rank.alias("k"), "s", "e")).alias("extra"))
+    longer = lambda x: lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
+    extra = extra.withColumn("extra", F.filter("extra", lambda x: ~F.exists("extra", longer(x))))
     right = extra.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "extra")
     joined = scanned.join(right, scanned["doc_id"].eqNullSafe(right["_d"]) & (scanned["h"] == right["_h"]), "left")
     base = F.concat(*[F.transform(k, _tagged(i)) for i, k in enumerate(KINDS, 1)])

@@ -133,6 +133,23 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert "nobody77" not in texts[100] and "[email]" in texts[100] and texts[101] == rows[31][1]
 
 
+def test_pii_bootstraps_where_many_identifiers_escape(spark):
+    letters = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    escaped = [f"some{letters(i)}(at)host" for i in range(20)] + [f"any{letters(i)} at host dot org" for i in range(5)]
+    rows = [(i, f"{prose(i, 5)} mailto user{i}@host{i}.example.org {prose(i + 50, 3)}") for i in range(30)]
+    rows += [(100 + i, f"{prose(i, 4)} mailto {x} {prose(i + 70, 4)}") for i, x in enumerate(escaped)]
+    rows += [(200 + i, f"{prose(i, 4)} dial +1 (269) 555-{3000 + i} {prose(i, 2)}") for i in range(30)] + [(250 + i, f"{prose(i, 4)} dial 555 {100 + i} 4444 {prose(i, 2)}") for i in range(10)]
+    mixed = [f"user{i}@host{i}.example.org" if i % 2 else f"10.0.0.{i}" for i in range(30)]
+    rows += [(300 + i, f"{prose(i, 4)} from {x} {prose(i, 2)}") for i, x in enumerate(mixed)] + [(400 + i, f"{prose(i, 4)} from {i}b {prose(i, 2)}") for i in range(10)]
+    got = {r.doc_id: r.s for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii._joined("spans").alias("s")).collect()}
+    for d, text in rows:
+        if 100 <= d < 200:
+            assert got[d] == f"email:{text.index(escaped[d - 100])}:{text.index(escaped[d - 100]) + len(escaped[d - 100])}"
+        if 250 <= d < 300:
+            assert got[d] == f"phone:{text.index('555')}:{text.index('4444') + 4}"
+        assert d < 400 or got[d] == ""
+
+
 def test_redact_keeps_rows_and_columns(edge):
     out = pii.redact(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
