@@ -19,6 +19,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -108,7 +109,7 @@ def scan_batches(templates: dict[str, str], least: float):
         places = [m.span() for m in WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in places]
         for name, template in able:
-            pairs = regional(words, template)
+            pairs = regional(words, template, least)
             share = len(pairs) / len(template)
             if share >= least and share > top[1] or share >= least and share == top[1] and len(pairs) > top[2]:
                 first, last = pairs[0][0], pairs[-1][0]
@@ -127,27 +128,42 @@ def scan_batches(templates: dict[str, str], least: float):
     return run
 
 
-def regional(words: list[str], template: list[str]) -> list[tuple[int, int]]:
+def windows(words: list[str], template: list[str], width: int, step: int, least: float):
+    """(start, words of the template held) of the windows that hold ``least`` of them or more."""
+    wanted, held, total = Counter(template), Counter(), 0
+    for i, w in enumerate(words):
+        if w in wanted:
+            held[w] += 1
+            total += held[w] <= wanted[w]
+        if i >= width and (gone := words[i - width]) in wanted:
+            total -= held[gone] <= wanted[gone]
+            held[gone] -= 1
+        start = max(0, i - width + 1)
+        if total >= least and (start % step == 0 or i == len(words) - 1):
+            yield start, total
+
+
+def regional(words: list[str], template: list[str], least: float = COVERAGE) -> list[tuple[int, int]]:
     """The best alignment of the template with the text as a whole or with one region of it.
 
     Words that are unique in a template can recur elsewhere in a long text, which
-    leaves the whole without anchors. Regions begin where the template's rarest word
-    of the text stands, and span twice the template; every place of that word is one.
+    leaves the whole without anchors. Regions are the places of the template's rarest
+    word of the text, each spanning twice the template, and all windows of the template's
+    length and of twice that which hold enough of its words to beat what is found.
     """
-    whole = align(words, template)
-    if len(whole) == len(template):
-        return whole
+    best, n = align(words, template), len(template)
     own = set(template)
     counts = Counter(w for w in words if w in own)
     rare = min((w for w in own if counts[w]), key=lambda w: (counts[w], template.index(w)), default=None)
-    if rare is None:
-        return whole
-    best, n = whole, len(template)
-    for at in [i for i, w in enumerate(words) if w == rare]:
-        a = max(0, at - 2 * n)
-        found = align(words[a : at + 2 * n], template)
-        if len(found) > len(best):
-            best = [(i + a, j) for i, j in found]
+    if len(best) == n or rare is None:
+        return best
+    rarest = ((max(0, at - 2 * n), at + 2 * n, n) for at, w in enumerate(words) if w == rare)
+    near = ((a, a + k * n, held) for k, step in ((1, 1), (2, max(1, n // 4))) for a, held in windows(words, template, k * n, step, least * n))
+    for a, b, most in chain(rarest, near):
+        if most > len(best):
+            found = align(words[a:b], template)
+            if len(found) > len(best):
+                best = [(i + a, j) for i, j in found]
     return best
 
 

@@ -285,6 +285,15 @@ def test_license_scan(spark, edge, empty):
     assert license_scan.scan(edge).count() == edge.count() and license_scan.scan(empty).count() == 0
 
 
+def test_license_notices_that_repeat():
+    words = lambda t: [w.lower() for w in license_scan.WORD.findall(t)]
+    apache, gpl = [words(license_scan.TEMPLATES[x]) for x in ("apache-2.0-notice", "gpl-3.0-notice")]
+    filler = words(prose(1, 60))
+    assert len(license_scan.regional(filler + words("licensed content.") + filler + apache * 2 + filler, apache)) == len(apache)
+    near = words("The work is licensed under the GNU General Public License, version 3.")
+    assert len(license_scan.regional(["this", *filler, *near, *filler, *near, *filler], gpl)) == len(gpl) - 1
+
+
 def test_alignment_is_increasing_and_close_to_the_longest():
     r = random.Random(6)
     for _ in range(200):
