@@ -1,12 +1,17 @@
 """Shared helpers: whole-batch tokenising in numpy, sizing, checked broadcasts.
 
 Words are maximal runs of bytes other than space and ``\\x09-\\x0D``; a word is
-carried as a 64-bit hash of its bytes. Batches are cut into slices of a few MB,
-so memory follows the longest single text and not the batch.
+carried as a 64-bit hash of its bytes: a chain of bijective scrambles over its 8-byte
+pieces, injective among words of one length up to 8 bytes, and BLAKE2 beyond ``LONG``
+bytes. ``Rolling`` hashes short runs of such hashes (a few dozen at most); it must not be
+used on raw bytes or long runs, where polynomials modulo 2**64 collide on regular input.
+Batches are cut into slices of a few MB, so memory follows the longest single text and
+not the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Iterator
@@ -22,6 +27,9 @@ U64 = np.uint64
 SLICE_BYTES = 1_000_000
 #: A small side is broadcast only when it has at most so many rows.
 BROADCAST_ROWS = 50_000
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _WS = np.zeros(256, dtype=bool)
@@ -53,7 +61,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any range of a sequence of 64-bit symbols, from prefix sums."""
+    """Hashes of short ranges of a sequence of scrambled 64-bit symbols, from prefix sums."""
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
@@ -108,6 +116,32 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Strong 64-bit hashes of byte ranges, any bytes and lengths."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    out = mix(size.astype(U64) + U64(0x632BE59BD9B4E019))
+    short = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(short):
+        piece = eight[starts[short] + at] & _LOW[np.minimum(size[short] - at, 8)]
+        out[short] = mix(out[short] ^ piece) + U64(_BASE)
+        at += 8
+        short = short[size[short] > at]
+    raw = memoryview(padded)
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def row_hashes(symbols: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Strong 64-bit hashes of whole rows of 64-bit symbols."""
+    raw = memoryview(np.ascontiguousarray(symbols, "<u8")).cast("B")
+    digest = (hashlib.blake2b(raw[8 * a : 8 * b], digest_size=8).digest() for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True))
+    return np.frombuffer(b"".join(digest), "<u8").astype(U64)
+
+
 def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a string column, and words before each row."""
     data, offsets = text_buffer(column)
@@ -118,7 +152,7 @@ def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         if lower:
             part = np.where((part >= 65) & (part <= 90), part + np.uint8(32), part)
         starts, ends, before = word_bounds(part, own)
-        hashes.append(Rolling(part.astype(U64) + U64(1)).ranges(starts, ends))
+        hashes.append(range_hashes(part, starts, ends))
         counts.append(before[1:] + total)
         total += len(starts)
     return np.concatenate(hashes), np.concatenate(counts)
@@ -140,6 +174,17 @@ def unpack40(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """Whole numbers below 2**64, each as wide as the largest needs."""
+    top = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1)
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted distinct 32-bit values as differences: three bytes each if all fit, else four."""
     gaps = np.diff(values, prepend=U64(0)).astype("<u4")

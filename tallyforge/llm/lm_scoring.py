@@ -6,8 +6,9 @@ log count (level j stands for 2**((j-1)/2)) into its own segment of the filter,
 at ``BITS`` bits per insertion, and counts its unigrams' tokens and types.
 
 Scoring: segments are broadcast when together they fit ``FILTER_BYTES``; beyond that
-a chunk sends its distinct bigrams to the shards, which probe the same segments. A
-count is read back by probing level after level until one is absent. Exact unigram
+a chunk sends its distinct bigrams to the shards, which probe the same segments and
+return levels, so both ways give equal scores. A count is read back by probing level
+after level until one is absent. Exact unigram
 counts always come by exchange between chunks and shards, as they are unbounded.
 
 p(w|h) = (c(hw) + MU p(w)) / (c(h) + MU), with p(w) the contract's add-half unigram;
@@ -16,6 +17,7 @@ a document's first token has no history.
 Null text is empty: the end token alone. A null doc_id has no checksum and trains.
 Rows that repeat are separate documents. An empty training set gives N = V = 0. Words
 are 64-bit hashes of their lower-cased bytes; filter keys keep 40 bits and the shard.
+Counts are whole numbers of up to 63 bits. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, by_shard, mix, pack40, parts_for, shared_checkpoint, slices, spread, table, text_buffer, unpack40, word_hashes
+from .common import U64, by_shard, mix, pack40, pack_counts, parts_for, shared_checkpoint, slices, spread, table, text_buffer, unpack40, unpack_counts, word_hashes
 
 END = 0x5EED0E4D
 MU = 4.0
-BITS = 8
-PROBES = 4
-LEVELS = 64
+#: Bits and probes for each inserted level: an absent one is taken for present once in 270.
+BITS = 12
+PROBES = 6
+#: Enough for counts below 2**63.
+LEVELS = 128
 FILTER_BYTES = 128_000_000
 HELD_OUT = (5, 1)
 CHUNKS_PER_PART = 4
@@ -61,17 +65,37 @@ def pairs_of(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(mix(tokens[at - 1]) * U64(3) + tokens[at]), at
 
 
-def _counted(hashes: np.ndarray, shards: int, weights: np.ndarray | None = None):
-    """(shard, hashes packed, counts) rows of the distinct hashes."""
-    shard, rest = spread(mix(hashes), shards)
-    keys = (shard << U64(40)) | rest
+def _keys(hashes: np.ndarray, shards: int, order: int) -> np.ndarray:
+    """Sortable by shard: whole hashes for exact unigrams, shard and 40 bits for filter keys."""
+    hashes = mix(hashes)
+    if order == 1:
+        return hashes
+    shard, rest = spread(hashes, shards)
+    return (shard << U64(40)) | rest
+
+
+def _shard_of(keys: np.ndarray, shards: int, order: int) -> np.ndarray:
+    return spread(keys, shards)[0] if order == 1 else keys >> U64(40)
+
+
+def _packed(keys: np.ndarray, order: int) -> bytes:
+    return keys.astype("<u8").tobytes() if order == 1 else pack40(keys & U64(LOW40))
+
+
+def _unpacked(blob: bytes, order: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u8") if order == 1 else unpack40(blob)
+
+
+def _counted(hashes: np.ndarray, shards: int, order: int, weights: np.ndarray | None = None):
+    """(shard, keys packed, counts packed) rows of the distinct hashes."""
+    keys = _keys(hashes, shards, order)
     if weights is None:
         keys, counts = np.unique(keys, return_counts=True)
     else:
         keys, back = np.unique(keys, return_inverse=True)
         counts = np.bincount(back, weights=weights, minlength=len(keys)).astype(np.int64)
-    for s, a, b in by_shard(keys >> U64(40)):
-        yield s, pack40(keys[a:b] & U64(LOW40)), counts[a:b].astype("<u4").tobytes()
+    for s, a, b in by_shard(_shard_of(keys, shards, order)):
+        yield s, _packed(keys[a:b], order), pack_counts(counts[a:b])
 
 
 def count_ngrams(shards: int):
@@ -82,25 +106,26 @@ def count_ngrams(shards: int):
             _, offsets = text_buffer(batch["text"])
             for a, b in slices(offsets, 16_000_000):
                 tokens, before = tokens_of(batch["text"].slice(a, b - a))
-                rows = [(1, *x) for x in _counted(tokens, shards)] + [(2, *x) for x in _counted(pairs_of(tokens, before)[0], shards)]
+                rows = [(1, *x) for x in _counted(tokens, shards, 1)] + [(2, *x) for x in _counted(pairs_of(tokens, before)[0], shards, 2)]
                 kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def merged(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def merged(order: int, hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of one shard and order, and their summed counts."""
     if not hashes:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    keys = np.concatenate([unpack40(x) for x in hashes])
+    keys = np.concatenate([_unpacked(x, order) for x in hashes])
     keys, back = np.unique(keys, return_inverse=True)
-    sums = np.bincount(back, weights=np.concatenate([np.frombuffer(x, "<u4") for x in counts]), minlength=len(keys))
-    return keys[sums > 0], sums[sums > 0].astype(np.int64)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, back, np.concatenate([unpack_counts(x).astype(np.int64) for x in counts]))
+    return keys[sums > 0], sums[sums > 0]
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(2 * np.log2(np.maximum(counts, 1)) + 1e-9), LEVELS).astype(np.int64)
+    return (1 + np.floor(2 * np.log2(np.maximum(counts, 1)) + 1e-9)).astype(np.int64)
 
 
 def _places(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
@@ -121,9 +146,14 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
+def quantised(levels: np.ndarray) -> np.ndarray:
+    """The counts that levels stand for; level 0 is none."""
+    return np.where(levels > 0, 2.0 ** ((levels.astype(float) - 1) / 2), 0.0)
+
+
 def probe(segment: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Quantised counts: the last level of an unbroken run of hits, 0 if none."""
-    out, left = np.zeros(len(keys)), np.arange(len(keys))
+    """Levels: the last one of an unbroken run of hits, 0 if none."""
+    out, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
     for level in range(1, LEVELS + 1):
         hit = np.ones(len(left), bool)
         for place in _places(keys[left], level, 8 * len(segment)):
@@ -131,7 +161,7 @@ def probe(segment: np.ndarray, keys: np.ndarray) -> np.ndarray:
         left = left[hit]
         if not len(left):
             break
-        out[left] = 2.0 ** ((level - 1) / 2)
+        out[left] = level
     return out
 
 
@@ -140,8 +170,8 @@ def total_shard(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     for order, hashes, counts in zip(*(rows[c].to_pylist() for c in ("order", "hashes", "counts")), strict=True):
         of[order][0].append(hashes)
         of[order][1].append(counts)
-    _, sums = merged(*of[1])
-    segment = build_segment(*merged(*of[2])).tobytes()
+    _, sums = merged(1, *of[1])
+    segment = build_segment(*merged(2, *of[2])).tobytes()
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([int(sums.sum())], pa.int64()), "types": pa.array([len(sums)], pa.int64()), "size": pa.array([len(segment)], pa.int64()), "segment": pa.array([segment], pa.binary())})
 
 
@@ -155,10 +185,10 @@ def ask_chunk(shards: int, orders: tuple[int, ...]):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         tokens, before = tokens_of(docs["text"])
         weight = np.repeat(_training(docs), np.diff(before)).astype(float)
-        rows = [(key[0].as_py(), 1, *x) for x in _counted(tokens, shards, weight)]
+        rows = [(key[0].as_py(), 1, *x) for x in _counted(tokens, shards, 1, weight)]
         if 2 in orders:
             pairs, at = pairs_of(tokens, before)
-            rows += [(key[0].as_py(), 2, *x) for x in _counted(pairs, shards, weight[at])]
+            rows += [(key[0].as_py(), 2, *x) for x in _counted(pairs, shards, 2, weight[at])]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
@@ -166,33 +196,31 @@ def ask_chunk(shards: int, orders: tuple[int, ...]):
 
 
 def answer_shard(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """For each chunk's keys: exact counts of unigrams, probed counts of bigrams."""
+    """For each chunk's keys: exact counts of unigrams, probed levels of bigrams."""
     order = rows["order"].to_numpy()
     hashes, counts, replies = rows["hashes"].to_pylist(), rows["counts"].to_pylist(), [b""] * len(order)
     for n in (1, 2):
         own = np.flatnonzero(order == n)
         if not len(own):
             continue
-        keys, sums = merged([hashes[i] for i in own], [counts[i] for i in own])
+        keys, sums = merged(n, [hashes[i] for i in own], [counts[i] for i in own])
         segment = build_segment(keys, sums) if n == 2 else None
         for i in own:
-            asked = unpack40(hashes[i])
+            asked = _unpacked(hashes[i], n)
             if n == 2:
-                got = probe(segment, asked)
+                replies[i] = probe(segment, asked).tobytes()
             else:
                 at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-                got = np.where(keys[at] == asked, sums[at], 0) if len(keys) else np.zeros(len(asked))
-            replies[i] = got.astype("<f4" if n == 2 else "<u4").tobytes()
+                replies[i] = pack_counts(np.where(keys[at] == asked, sums[at], 0) if len(keys) else np.zeros(len(asked), np.int64))
     return pa.table({"chunk": rows["chunk"], "order": rows["order"], "shard": rows["shard"], "counts": pa.array(replies, pa.binary())})
 
 
-def _looked_up(hashes: np.ndarray, shards: int, reply) -> np.ndarray:
-    """Counts for hashes, from a function of (shard, sorted distinct keys of that shard)."""
-    shard, rest = spread(mix(hashes), shards)
-    keys, back = np.unique((shard << U64(40)) | rest, return_inverse=True)
+def _looked_up(hashes: np.ndarray, shards: int, order: int, reply) -> np.ndarray:
+    """Numbers for hashes, from a function of (shard, sorted distinct keys of that shard)."""
+    keys, back = np.unique(_keys(hashes, shards, order), return_inverse=True)
     out = np.zeros(len(keys))
-    for s, a, b in by_shard(keys >> U64(40)):
-        out[a:b] = reply(s, keys[a:b] & U64(LOW40))
+    for s, a, b in by_shard(_shard_of(keys, shards, order)):
+        out[a:b] = reply(s, keys[a:b])
     return out[back]
 
 
@@ -202,13 +230,14 @@ def score_chunk(shards: int, n: int, v: int, segments):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, replies: pa.Table) -> pa.Table:
         got = {(o, s): c for o, s, c in zip(*(replies[x].to_pylist() for x in ("order", "shard", "counts")), strict=True)}
         tokens, before = tokens_of(docs["text"])
-        counts = _looked_up(tokens, shards, lambda s, _: np.frombuffer(got[1, s], "<u4"))
+        counts = _looked_up(tokens, shards, 1, lambda s, _: unpack_counts(got[1, s]))
         pairs, at = pairs_of(tokens, before)
         if segments is None:
-            joint = _looked_up(pairs, shards, lambda s, _: np.frombuffer(got[2, s], "<f4"))
+            levels = _looked_up(pairs, shards, 2, lambda s, _: np.frombuffer(got[2, s], np.uint8))
         else:
             bits = segments.value
-            joint = _looked_up(pairs, shards, lambda s, keys: probe(np.frombuffer(bits[s], np.uint8), keys) if s in bits else 0)
+            levels = _looked_up(pairs, shards, 2, lambda s, keys: probe(np.frombuffer(bits[s], np.uint8), keys & U64(LOW40)) if s in bits else 0)
+        joint = quantised(levels)
         p = (counts + 0.5) / (n + 0.5 * (v + 1))
         base = np.log10(p)
         model, history = base.copy(), counts[at - 1]
@@ -241,7 +270,7 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     segments, orders = None, (1, 2)
     if size <= filter_bytes:
         segments, orders = spark.sparkContext.broadcast({r.shard: bytes(r.segment) for r in totals.select("shard", "segment").toLocalIterator()}), (1,)
-    text = text.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(parts, "chunk")
+    text = text.withColumn("chunk", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(chunks))).repartition(parts, "chunk")
     replies = text.groupBy("chunk").applyInArrow(ask_chunk(shards, orders), ASKED).groupBy("shard").applyInArrow(answer_shard, REPLY)
     return text.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score_chunk(shards, n, v, segments), RESULT)
 

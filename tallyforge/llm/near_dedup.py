@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, mix, shared_checkpoint, slices, table, text_buffer, window_starts, word_hashes, worker_cache
+from .common import U64, Rolling, mix, row_hashes, shared_checkpoint, slices, table, text_buffer, window_starts, word_hashes, worker_cache
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -54,7 +54,7 @@ def shingles(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
     counts = np.diff(np.append(new, len(keys)))
     keys = keys[new]
-    content = mix(rolling.ranges(before[:-1], before[1:]) + U64(1))
+    content = row_hashes(words, before)
     return keys, counts, np.searchsorted(keys, np.arange(len(n) + 1, dtype=U64) << U64(48)), content
 
 

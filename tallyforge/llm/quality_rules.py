@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _WS, U64, Rolling, join_checked, shared_checkpoint, slices, table, text_buffer, window_starts, word_bounds
+from .common import _WS, U64, Rolling, join_checked, mix, range_hashes, shared_checkpoint, slices, table, text_buffer, window_starts, word_bounds
 
 DIMS = 4
 SHARE = 0.75
@@ -44,6 +44,11 @@ def _by_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
 
 
+def _in_row(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """64-bit hashes told apart by row: scrambled, so that rows of a slice don't meet."""
+    return mix(hashes ^ mix(row.astype(U64) + U64(1)))
+
+
 def _repeats(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """All five counts of each row of one slice."""
     rows = len(offsets) - 1
@@ -52,7 +57,6 @@ def _repeats(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     solid = ~_WS[data]
     chars, symbols = _by_row(solid & ((data & 0xC0) != 0x80), offsets), _by_row(table_[data], offsets)
     starts, ends, before = word_bounds(data, offsets)
-    raw = Rolling(data.astype(U64) + U64(1))
     # lines: between newlines and the rows' bounds
     breaks = np.flatnonzero(data == 10)
     line_start = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
@@ -62,16 +66,17 @@ def _repeats(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     line_end[here] = breaks
     worded = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     worded &= line_row < rows
-    line_row, line_hash = line_row[worded].astype(U64), raw.ranges(line_start[worded], line_end[worded])
-    keys = np.sort((line_row << U64(48)) | (line_hash & U64((1 << 48) - 1)))
-    again = keys[1:][keys[1:] == keys[:-1]]
-    dup_lines = np.bincount((again >> U64(48)).astype(np.int64), minlength=rows)
+    line_row = line_row[worded]
+    keys = _in_row(range_hashes(data, line_start[worded], line_end[worded]), line_row)
+    order = np.argsort(keys, kind="stable")
+    again = order[1:][keys[order][1:] == keys[order][:-1]]
+    dup_lines = np.bincount(line_row[again], minlength=rows)
     # five-word windows
     at = window_starts(before, WINDOW)
     covered = np.zeros(len(starts) + 1, np.int64)
     if len(at):
-        row = np.repeat(np.arange(rows), np.maximum(np.diff(before) - WINDOW + 1, 0)).astype(U64)
-        keys = (row << U64(48)) | (Rolling(raw.ranges(starts, ends)).ranges(at, at + WINDOW) & U64((1 << 48) - 1))
+        row = np.repeat(np.arange(rows), np.maximum(np.diff(before) - WINDOW + 1, 0))
+        keys = _in_row(Rolling(range_hashes(data, starts, ends)).ranges(at, at + WINDOW), row)
         ordered = np.sort(keys)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         if len(twice):
