@@ -53,8 +53,8 @@ def source_targets(sums: DataFrame, most: int = MOST) -> DataFrame:
     partition plus the rows of the partitions before.
     """
     ranged = shared_checkpoint(sums.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_p", F.spark_partition_id()))
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("rows"))
-    before = sizes.alias("a").join(sizes.select(F.col("_p").alias("q"), F.col("rows").alias("r")), F.col("q") < F.col("_p"), "left").groupBy("_p").agg(F.coalesce(F.sum("r"), F.lit(0)).alias("_before"))
+    sizes = sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect())  # a row for each partition
+    before = ranged.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes] or [(0, 0)], "_p int, _before long")
     place = F.row_number().over(Window.partitionBy("_p").orderBy(F.col("source").asc_nulls_last())) - 1
     cap = F.col("source_size") * F.lit(float(most))
     weighed = shared_checkpoint(ranged.withColumn("_i", place).join(F.broadcast(before), "_p").withColumn("_w", ((F.col("_i") + F.col("_before")) % 3 + 1).cast("double")).withColumn("_cap", cap).drop("_p", "_i", "_before"))

@@ -1,7 +1,8 @@
 """Near duplicates: consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A shingle is five words (a shorter text is one shingle); its weight is
-(1 + ln tf) * (1 + log10(N / df)). Document frequencies of all documents are kept in
+(1 + ln tf) * (1 + log10(N / df) / 2). The damped idf keeps weight on the shingles that a
+large group of copies shares. Document frequencies of all documents are kept in
 2**18 hashed cells, a table of fixed size, so a rare shingle's df is its cell's load
 and common ones stand out at every size of corpus.
 
@@ -12,11 +13,12 @@ and common ones stand out at every size of corpus.
 3. Buckets of three or more whose nodes are then in different components are compared
    exhaustively across components, in blocks of ``BLOCK`` nodes, and give a spanning
    set of links.
-A link is a similarity of ``SIMILARITY`` or more, weighted or with unit weights, of
-whole texts. A class is a connected component; its id is its smallest doc_id.
+A link is a weighted Jaccard similarity of ``SIMILARITY`` or more of whole texts. A class is a connected component; its id is its smallest doc_id.
 
 Texts without words form one class. Null text counts as empty. Rows that repeat, and
 null doc_ids, are rows of their content's node; a class of null ids only has a null id.
+Texts of any length are compared whole; an empty table gives no rows. Of a class, the row
+of the smallest doc_id stays (ties: of the smallest hash of the text).
 """
 
 from __future__ import annotations
@@ -87,13 +89,13 @@ def add_cells(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
 
 
 def inverse_frequency(docs: DataFrame) -> np.ndarray:
-    """1 + log10(N / df) of each hashed cell: 2**18 numbers, whatever the input."""
+    """1 + log10(N / df) / 2 of each hashed cell: 2**18 numbers, whatever the input."""
     found = docs.select("text").mapInArrow(count_cells, "segment int, rows long, counts binary").groupBy("segment").applyInArrow(add_cells, "segment int, rows long, counts binary").collect()
     df = np.zeros(((1 << CELL_BITS) // SEGMENTS) * SEGMENTS, np.int64).reshape(SEGMENTS, -1)
     for r in found:
         df[r.segment] = np.frombuffer(r["counts"], "<i8")
     n = max((r.rows for r in found), default=0)
-    return (1 + np.log10(np.maximum((n + 1) / (df.reshape(-1) + 1), 1))).astype(np.float32)
+    return (1 + np.log10(np.maximum((n + 1) / (df.reshape(-1) + 1), 1)) / 2).astype(np.float32)
 
 
 def weights(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -152,16 +154,15 @@ def sign(idf):
 
 
 def similar(left, right, idf: np.ndarray) -> np.ndarray:
-    """The larger of weighted and plain Jaccard similarity of each pair of texts."""
+    """Weighted Jaccard similarity of each pair of texts."""
     (ka, na, *_), (kb, nb, *_) = shingles(left), shingles(right)
     wa, wb = weights(ka, na, idf), weights(kb, nb, idf)
     at = np.minimum(np.searchsorted(kb, ka), max(len(kb) - 1, 0))
     both = kb[at] == ka if len(kb) else np.zeros(len(ka), bool)
     rows = len(left)
-    add = lambda keys, w=None: np.bincount((keys >> U64(48)).astype(np.int64), w, rows)
-    shared, least = add(ka[both]), add(ka[both], np.minimum(wa[both], wb[at[both]]))
-    plain = shared / np.maximum(add(ka) + add(kb) - shared, 1)
-    return np.maximum(plain, least / np.maximum(add(ka, wa) + add(kb, wb) - least, 1e-9))
+    add = lambda keys, w: np.bincount((keys >> U64(48)).astype(np.int64), w, rows)
+    least = add(ka[both], np.minimum(wa[both], wb[at[both]]))
+    return least / np.maximum(add(ka, wa) + add(kb, wb) - least, 1e-9)
 
 
 def verify(idf, least: float):
@@ -187,7 +188,7 @@ def link_block(idf, least: float):
         row, h = (keys >> U64(48)).astype(np.int64), keys & U64(LOW48)
         order = np.argsort(h, kind="stable")
         post_row, post_w, post_h = row[order], w[order], h[order]
-        sums, sizes = np.bincount(row, w, len(c)), np.bincount(row, minlength=len(c))
+        sums = np.bincount(row, w, len(c))
         begin, end = np.searchsorted(post_h, h, "left"), np.searchsorted(post_h, h, "right")
         parent = comp.copy()  # of each node's component, by its current root
         links, largest = [], np.bincount(comp).argmax()
@@ -197,9 +198,8 @@ def link_block(idf, least: float):
             if not size.sum():
                 continue
             at = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            shared = np.bincount(post_row[at], minlength=len(c))
             small = np.bincount(post_row[at], np.minimum(np.repeat(w[mine], size), post_w[at]), len(c))
-            best = np.maximum(shared / (sizes + sizes[x] - shared), small / (sums + sums[x] - small))
+            best = small / (sums + sums[x] - small)
             for y in np.flatnonzero((best >= least - 1e-12) & (parent != parent[x])):
                 if parent[y] != parent[x]:
                     links.append((c[x], c[y]))

@@ -54,35 +54,47 @@ def base_spans(text):
 
 def shingles(text):
     w = words(text)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or collections.Counter([tuple(w)] if w else [])
+
+
+def near_pairs(rows):
+    """(a, b, weighted, plain) of all pairs of rows that share a shingle, or have no words."""
+    sets = [shingles(t) for _, t in rows]
+    df = collections.Counter(x for s in sets for x in s)
+    idf = {x: 1 + math.log10(max((len(rows) + 1) / (n + 1), 1)) / 2 for x, n in df.items()}
+    weights = [{x: (1 + math.log(n)) * idf[x] for x, n in s.items()} for s in sets]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s or [None]:
+            holders[x].append(i)
+    done = {(a, b) for own in holders.values() for k, a in enumerate(own) for b in own[k + 1 :]}
+    for a, b in sorted(done):
+        v, w = weights[a], weights[b]
+        if not v or not w:
+            yield a, b, 1.0, 1.0
+            continue
+        least = sum(min(v[x], w[x]) for x in v.keys() & w.keys())
+        yield a, b, least / (sum(v.values()) + sum(w.values()) - least), len(v.keys() & w.keys()) / len(v.keys() | w.keys())
 
 
 def near_classes(rows, least=0.8):
-    """Class (smallest doc_id) per doc_id, by plain similarity of all pairs that share a shingle."""
-    sets = {d: shingles(t) for d, t in rows}
-    parent = {d: d for d in sets}
+    """Class (smallest doc_id) per row, by weighted similarity of all pairs that share a shingle."""
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    holders = collections.defaultdict(list)
-    for d, s in sets.items():
-        for x in s or [None]:
-            holders[x].append(d)
-    done = set()
-    for own in holders.values():
-        for i, a in enumerate(own):
-            for b in own[i + 1 :]:
-                if (a, b) in done:
-                    continue
-                done.add((a, b))
-                union = len(sets[a] | sets[b])
-                if not union or len(sets[a] & sets[b]) / union >= least:
-                    p, q = sorted((root(a), root(b)))
-                    parent[q] = p
-    return {d: root(d) for d in sets}
+    for a, b, weighted, _ in near_pairs(rows):
+        if weighted >= least:
+            p, q = sorted((root(a), root(b)))
+            parent[q] = p
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[root(i)] = min(low.get(root(i), d), d)
+    return {d if d is not None else ("null", i): low.get(root(i)) for i, (d, _) in enumerate(rows)}
 
 
 def lm_base(rows):

@@ -297,6 +297,30 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == brute.near_classes(rows)
 
 
+def test_near_duplicates_of_null_ids_and_repeated_rows(spark):
+    rows = [(None, prose(1, 40))] * 2 + [(None, prose(2, 40)), (7, prose(1, 40)), (7, prose(1, 40)), (9, prose(3, 40)), (None, None), (None, "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.near_classes(rows)
+    assert sorted(str((r.doc_id, r.class_id)) for r in got) == sorted(str((d, want[d if d is not None else ("null", i)])) for i, (d, _) in enumerate(rows))
+
+
+def test_near_duplicate_recall(spark, monkeypatch):
+    """Pairs from 0.8 up, each of its own class: at least 0.9 are found (bands alone, no chance of help by others)."""
+    r = random.Random(77)
+    rows = []
+    for i in range(400):
+        base = [f"v{i}_{j}" for j in range(200)]
+        copy = base[:]
+        for at in r.sample(range(200), r.randrange(1, 7)):
+            copy[at] = f"new{i}_{at}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs_ = [(a, b, w) for a, b, w, _ in brute.near_pairs(rows)]
+    linked = [(a, b) for a, b, w in pairs_ if w >= 0.8]
+    assert len(linked) > 250 and sum(got[a] == got[b] for a, b in linked) >= 0.99 * len(linked)
+    assert all(got[a] != got[b] for a, b, w in pairs_ if w < 0.8 - 1e-3)
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
     test_near_duplicates_in_a_large_group(spark)
