@@ -3,17 +3,22 @@
 log P(l | document) = text + log P(declared | l) + log P(suffix | l) + log P(l | host).
 
 Text: byte trigrams in ``CELLS`` hashed cells per language, counted over all rows with
-a declared language. Every declared language is modelled, however rare: counts are a
+a declared language; a share ``NOISE`` of any text is taken to be of no language, so one
+odd trigram says little. Every declared language is modelled, however rare: counts are a
 table keyed by language and cell, and workers hold ``BLOCK`` languages at a time, so only
 the time grows with their number. Trigrams of one text are dependent, so a text counts
 as at most ``EVIDENCE`` of them.
 Host: declared languages per host are smoothed towards the host's parent domain, and
 those towards the whole, by grouped sums; the table of hosts is broadcast only when few.
 
-A document is rejected if it has no letters, or no language has a posterior of
-``POSTERIOR``. Null text has no letters. A missing declaration, suffix or host says
-nothing (the host prior is then the whole's). Rows that repeat are judged each. With no
-declared language at all, every row is rejected.
+One more answer is none of the languages: prior ``NONE``, all cells and declarations
+alike. Text unlike every language, such as random letters or an undeclared script, ends
+there, whatever it declares. A document is rejected if it has no letters, or no language
+has a posterior of ``POSTERIOR``. Null text has no letters. A missing declaration, suffix
+or host says nothing (the host prior is then the whole's). Ties go to the language first
+by code point. Rows that repeat are judged each, long texts as a whole. With no declared
+language at all, every row is rejected; an empty table gives no rows. Columns beyond
+those named are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ CELLS = 1 << 15
 BLOCK = 64
 EVIDENCE = 100
 POSTERIOR = 0.5
+NOISE = 0.1
+NONE = 0.01
 HONEST = 0.9
 HONEST_SUFFIX = 0.7
 PRIOR_WEIGHT = 20.0
@@ -105,7 +112,7 @@ def text_model(rows: DataFrame, languages: list[str]) -> list[Broadcast]:
         at = pc.index_in(got["declared"], pa.array(some, pa.string())).to_numpy()
         counts = np.zeros((len(some), CELLS))
         counts[at, got["cell"].to_numpy()] = got["n"].to_numpy()
-        model = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * CELLS))
+        model = np.log((1 - NOISE) * (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * CELLS) + NOISE / CELLS)
         out.append(rows.sparkSession.sparkContext.broadcast(model.astype(np.float32)))
     return out
 
@@ -154,7 +161,7 @@ def fuse(languages: list[str], model: list[Broadcast], whole: np.ndarray, keep:
                 out[here, at[here] - lo] = np.log(honest)
             return out
 
-        return block
+        return block, np.where(at >= 0, -np.log(n), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +179,7 @@ def fuse(languages: list[str], model: list[Broadcast], whole: np.ndarray, keep:
                 slot = {x: i for i, x in enumerate(first)}
                 host = np.array([slot[x] for x in part["host"].to_pylist()])
                 seen, above = [Counts([part[c][i].as_py() for i in first.values()], index) for c in ("seen", "above")]
-                declared, suffix = told(part["declared"].to_pylist(), HONEST), told([SUFFIXES.get(x) for x in part["suffix"].to_pylist()], HONEST_SUFFIX)
+                (declared, any_declared), (suffix, any_suffix) = told(part["declared"].to_pylist(), HONEST), told([SUFFIXES.get(x) for x in part["suffix"].to_pylist()], HONEST_SUFFIX)
                 top, mass, best = np.full(len(count), -np.inf), np.zeros(len(count)), np.zeros(len(count), np.int64)
                 for lo, shared in zip(range(0, n, BLOCK), model, strict=True):
                     likely = shared.value
@@ -185,6 +192,8 @@ def fuse(languages: list[str], model: list[Broadcast], whole: np.ndarray, keep:
                     top = most
                     if n > BLOCK and shared._path:  # the next use reads the file again
                         del shared._value
+                none = np.minimum(count, EVIDENCE) * -np.log(CELLS) + np.log(NONE) + any_declared + any_suffix
+                mass += np.exp(np.minimum(none - top, 700))
                 fresh = [pa.array([languages[i] for i in best], pa.string()), pa.array(1 / mass), pa.array(count, pa.int64())]
                 yield pa.record_batch([part[c] for c in keep] + fresh, names=keep + names)
 

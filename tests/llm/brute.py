@@ -153,3 +153,43 @@ def quality(text):
             cover[i : i + 5] = [True] * 5
     failed = len(w) < 10 or 100 * sum(cover) > 20 * len(w)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, sum(cover), failed
+
+
+def languages(rows, suffixes):
+    """(best language, posterior, has letters) of rows (text, declared, suffix, host, parent), one by one."""
+    fold = lambda b: bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in b)
+    cells = []
+    for text, *_ in rows:
+        t = fold((text or "").encode())
+        codes = [t[i] << 16 | t[i + 1] << 8 | t[i + 2] for i in range(len(t) - 2)]
+        cells.append([(c * 0x9E3779B97F4A7C15 % 2**64) >> 49 for c in codes if c != 0x202020])
+    told = collections.Counter(r[1] for r in rows if r[1] is not None)
+    names, size = sorted(told), 1 << 15
+    grams = {x: collections.Counter(c for own, r in zip(cells, rows) if r[1] == x for c in own) for x in names}
+    total = {x: sum(grams[x].values()) for x in names}
+    host, parent = collections.Counter(), collections.Counter()
+    for _, said, _, h, p in rows:
+        if said is not None and h is not None:
+            host[h, said] += 1
+            parent[p, said] += 1
+    hosts = {h: p for _, said, _, h, p in rows if said is not None and h is not None}
+    out = []
+    for own, (_, said, suffix, h, _) in zip(cells, rows):
+        scale = min(len(own), 100) / max(len(own), 1)
+        score = {}
+        for x in names:
+            s = scale * sum(math.log(0.9 * (grams[x][c] + 0.5) / (total[x] + 0.5 * size) + 0.1 / size) for c in own)
+            for value, honest in ((said, 0.9), (suffixes.get(suffix), 0.7)):
+                if value in told and len(names) > 1:
+                    s += math.log(honest if value == x else (1 - honest) / (len(names) - 1))
+            prior = (told[x] + 1) / (sum(told.values()) + len(names))
+            p = hosts.get(h)
+            for counts, key in ((parent, p), (host, h)):
+                seen = sum(counts[key, y] for y in names) if p is not None or h in hosts else 0
+                prior = ((counts[key, x] if h in hosts else 0) + 20 * prior) / (seen + 20)
+            score[x] = s + math.log(prior)
+        none = min(len(own), 100) * -math.log(size) + math.log(0.01) - sum(math.log(len(names)) for v in (said, suffixes.get(suffix)) if v in told)
+        best = max(names, key=lambda x: (score[x], [-ord(c) for c in x]))
+        whole = sum(math.exp(min(v - score[best], 700)) for v in [*score.values(), none])
+        out.append((best, 1 / whole, bool(own)))
+    return out

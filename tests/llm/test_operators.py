@@ -409,6 +409,35 @@ def test_language_id_judges_pages_by_all_evidence(spark, docs):
     assert got[90] == "de" and got[91] == "fr"
 
 
+def test_language_id_against_brute_force(spark, docs):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(60)
+    evidence = language_id.page_evidence(pages, F.col("page_id").cast("long")).unionByName(language_id.document_evidence(docs.where("n_chars < 4000"), F.col("doc_id").cast("long") + 10**6))
+    odd = [(-1, "oak pine", None, "de", "x.de", "x.de"), (-2, None, "en", None, None, None), (-3, "xq zvk jjw qqk", "en", "fr", "a.fr", "a.fr"), (-4, "qpx vvz", None, None, None, None)]
+    rows = evidence.unionByName(spark.createDataFrame(odd, "row long, text string, declared string, suffix string, host string, parent string")).collect()
+    got = {r.row: r for r in language_id.identify(spark.createDataFrame(rows, "row long, text string, declared string, suffix string, host string, parent string")).collect()}
+    want = brute.languages([(r.text, r.declared, r.suffix, r.host, r.parent) for r in rows], language_id.SUFFIXES)
+    for r, (language, posterior, letters) in zip(rows, want, strict=True):
+        assert got[r.row].posterior == pytest.approx(posterior, rel=1e-2, abs=1e-9), r.row
+        assert got[r.row].language == language or posterior < 0.51
+        assert got[r.row].kept == (letters and posterior >= 0.5) or abs(posterior - 0.5) < 0.01
+
+
+def test_language_id_rejects_what_no_language_explains(spark, docs):
+    r = random.Random(12)
+    junk = ["".join(r.choice("qxzjkvwpbg ") for _ in range(400)) for _ in range(20)] + [" ".join(chr(0x10D0 + r.randrange(33)) * 5 for _ in range(40)) for _ in range(5)]
+    rows = [(10**6 + i, t, "en" if i < 20 and i % 2 else None, f"src{i % 3}", len(t)) for i, t in enumerate(junk)]
+    out = language_id.identify(language_id.document_evidence(docs.unionByName(spark.createDataFrame(rows, docs.schema)), F.struct("doc_id"))).select("row.doc_id", "kept").collect()
+    kept = {x.doc_id for x in out if x.kept}
+    assert {d for d in kept if d >= 10**6} == set() and kept == {x.doc_id for x in docs.collect()}
+
+
+def test_language_id_with_declarations_withheld(spark, docs):
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    out = language_id.identify(language_id.document_evidence(hidden, F.struct("doc_id"))).select("row.doc_id", "language", "kept").where("row.doc_id % 5 = 0").collect()
+    assert len(out) >= 30 and sum(r.language == truth[r.doc_id] and r.kept for r in out) >= 0.97 * len(out)
+
+
 def test_language_blocks_agree(spark, docs, monkeypatch):
     rows = language_id.document_evidence(docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 40).cast("string"))), F.struct("doc_id"))
     got = []
