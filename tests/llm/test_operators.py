@@ -351,6 +351,62 @@ def test_license_scan(spark, edge, empty):
     assert license_scan.scan(edge).count() == edge.count() and license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_lists_every_verbatim_notice(docs):
+    words = lambda t: [w.lower() for w in license_scan.WORD.findall(t or "")]
+    texts = dict(pairs(docs))
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert set(got) == set(texts)
+    seen = 0
+    for d, t in texts.items():
+        spans = [(n, int(a), int(b)) for n, a, b in (x.rsplit(":", 2) for x in got[d].matches.split(",") if x)]
+        assert got[d].n_matches == len(spans) and (got[d].license is None) == (not spans)
+        own, places = words(t), [m.span() for m in license_scan.WORD.finditer(t or "")]
+        for name, template in license_scan.TEMPLATES.items():
+            side = words(template)
+            for i in range(len(own) - len(side) + 1):
+                if own[i : i + len(side)] == side:
+                    seen += 1
+                    assert any(a <= places[i][0] and places[i + len(side) - 1][1] <= b for _, a, b in spans), (d, name)
+    assert seen > 0
+
+
+def test_license_texts_that_repeat_and_mix(spark, empty):
+    t = license_scan.TEMPLATES
+    text = "\n".join([prose(1, 30), t["mit"], prose(2, 20), t["bsd-3-clause"], t["mit"], prose(3, 10), t["mit-notice"], t["zlib"].replace("warranty", "promise"), t["mit"]])
+    rows = [(1, text), (1, text), (2, ""), (None, t["isc"]), (3, (prose(4, 400) + " " + t["mpl-2.0"] + " ") * 20)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = lambda r: [x.split(":")[0] for x in r.matches.split(",") if x]
+    assert names(got[0]) == ["mit", "bsd-3-clause", "mit", "mit-notice", "zlib", "mit"] and got[0] == got[1]
+    assert names(got[2]) == [] and got[3].license == "isc" and got[3].doc_id is None and names(got[4]) == ["mpl-2.0"] * 20
+    assert license_scan.scan(empty).collect() == []
+
+
+def test_alignment_of_distinct_words_is_the_longest():
+    r = random.Random(16)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0] * (len(b) + 1)
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        return row[-1]
+
+    for _ in range(150):
+        b = r.sample(range(60), r.randrange(1, 40))
+        a = r.sample(range(60), r.randrange(1, 40))
+        assert len(license_scan.align([str(x) for x in a], [str(x) for x in b])) == lcs(a, b)
+    near = 0
+    for name, template in license_scan.TEMPLATES.items():
+        b = license_scan.WORD.findall(template.lower())
+        for _ in range(5):
+            a = [w if r.random() > 0.08 else r.choice(b + ["zz"]) for w in b for _ in range(r.choice([1] * 20 + [0, 2]))]
+            got, best = len(license_scan.align(a, b)), lcs(a, b)
+            assert got <= best
+            near += got >= 0.95 * best
+    assert near >= 0.95 * 5 * len(license_scan.TEMPLATES)
+
+
 def test_license_notices_that_repeat():
     words = lambda t: [w.lower() for w in license_scan.WORD.findall(t)]
     apache, gpl = [words(license_scan.TEMPLATES[x]) for x in ("apache-2.0-notice", "gpl-3.0-notice")]
