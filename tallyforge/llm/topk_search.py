@@ -3,18 +3,20 @@
 Vectors become integers. An index block holds ``BLOCK`` vectors; in each dimension
 their components are quantised to ``LEVELS`` equal steps, and a posting segment is the
 vectors of one level. For a query, segments of all dimensions are processed by
-descending quantised impact (how much they raise a score above the dimension's least
-contribution) into accumulators. They bound every score: what is processed counts
-within one quantisation step, and a dimension still open adds at most its next
-segment. A vector is let go only when its upper bound is below the k-th best lower
-bound; those left when few are, or all segments are done, are scored exactly. Blocks'
-answers are merged by a grouped top-k.
+descending quantised impact (the most that one of their components can change a score,
+up or down) into accumulators. What is processed counts with its segment's greatest
+contribution; what is not yet processed is bounded by Cauchy and Schwarz, from the
+energy that the query and the vector have left there. A vector is let go only when that
+upper bound is below the k-th best of the exact scores of the likeliest vectors so far;
+those left when few are, or all segments are done, are scored exactly. Blocks' answers
+are merged by a grouped top-k.
 
 Queries are packed too and meet every index block in blocks, so a row is a pair of
 blocks and memory follows the block sizes. Null vectors, and vectors with null or non-finite
 components, take no part; a shorter vector counts as padded with zeros. Rows with
 equal vec_id are rows of their own, except that a query skips candidates of its own id.
-Fewer than k candidates are all returned. A null vec_id takes no part.
+Fewer than k candidates are all returned. A null vec_id takes no part. Empty tables give
+no rows; columns beside vec_id and embedding are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import shared_checkpoint, shuffle_partitions, table
 
-BLOCK = 2048
+BLOCK = 8192
 QUERIES = 64
-LEVELS = 16
-ROUNDS = 16
+LEVELS = 128
+ROUNDS = 12
+#: Exact scoring takes over once it is proven that the best are among this share of a block.
+FEW = 1 / 8
 SCALE = 1024
 K = 10
 PACKED = "b long, ids binary, wide boolean, vectors binary"
@@ -77,40 +81,63 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        dims = vectors.shape[1]
         self.low = vectors.min(axis=0)
         self.step = -(-(vectors.max(axis=0) - self.low + 1) // LEVELS)
         level = (vectors - self.low) // self.step
-        cell = (level + np.arange(vectors.shape[1]) * LEVELS).T.reshape(-1)
-        self.postings = np.tile(np.arange(len(ids)), vectors.shape[1])[np.argsort(cell, kind="stable")]
-        self.size = np.bincount(cell, minlength=vectors.shape[1] * LEVELS)
+        cell = (level + np.arange(dims) * LEVELS).T.reshape(-1)
+        order = np.argsort(cell, kind="stable")
+        self.postings = np.tile(np.arange(len(ids)), dims)[order]
+        self.size = np.bincount(cell, minlength=dims * LEVELS)
         self.begin = np.cumsum(self.size) - self.size
+        self.filled = self.size.reshape(dims, LEVELS) > 0
+        # the components that a segment really holds, from least to most
+        sorted_, at = vectors.T.reshape(-1)[order], np.flatnonzero(self.size)
+        self.least, self.most = np.zeros((2, dims * LEVELS), np.int64)
+        if len(at):
+            self.least[at], self.most[at] = np.minimum.reduceat(sorted_, self.begin[at]), np.maximum.reduceat(sorted_, self.begin[at])
+        self.least, self.most = self.least.reshape(dims, LEVELS), self.most.reshape(dims, LEVELS)
+        near = np.where((self.least < 0) & (self.most > 0), 0, np.minimum(np.abs(self.least), np.abs(self.most)))
+        self.energy = near.astype(float) ** 2
+        self.norms = np.einsum("ij,ij->i", vectors, vectors, dtype=float)
+        self.read = self.rescored = 0
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the best k of the block, ties to the smaller id."""
         dims = min(len(query), self.vectors.shape[1])
-        q, low, step = query[:dims, None], self.low[:dims, None], self.step[:dims, None]
+        q = query[:dims].astype(float)[:, None]
         live = np.flatnonzero(self.ids != own)
-        ends = low + step * np.arange(LEVELS)
-        least, most = np.minimum(q * ends, q * (ends + step - 1)), np.maximum(q * ends, q * (ends + step - 1))
-        filled = self.size[: dims * LEVELS].reshape(dims, LEVELS) > 0
-        floor = np.where(filled, least, least.max(axis=1, keepdims=True)).min(axis=1, keepdims=True) if dims else least
-        impact = np.where(filled, most - floor, 0)
-        order = np.argsort(-impact, axis=None, kind="stable")
-        order = order[filled.reshape(-1)[order]]
-        gain, hidden = (least - floor).reshape(-1), (most - least).reshape(-1)
-        sure, slack = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
-        todo = impact.copy()
-        for cells in np.array_split(order, ROUNDS):
-            if len(live) <= 4 * k or not len(cells):
+        a, b = q * self.least[:dims], q * self.most[:dims]
+        impact = np.where(self.filled[:dims], np.maximum(np.abs(a), np.abs(b)), 0).reshape(-1)
+        order = np.argsort(-impact, kind="stable")
+        order = order[impact[order] > 0]
+        gain, weight, energy = np.maximum(a, b).reshape(-1), np.repeat(q[:, 0] ** 2, LEVELS), self.energy[:dims].reshape(-1)
+        norms = self.norms if dims == self.vectors.shape[1] else (self.vectors[:, :dims].astype(float) ** 2).sum(axis=1)
+        whole = float((q**2).sum())
+        slack = 1 + 1e-9 * np.sqrt(whole * norms.max(initial=0))
+        seen, query_left, own_left = np.zeros(len(self.ids)), np.full(len(self.ids), whole), norms.copy()
+        scores = np.full(len(self.ids), np.iinfo(np.int64).min)
+        ends = np.searchsorted(np.cumsum(self.size[order]), np.linspace(0, self.size[order].sum(), ROUNDS + 1)[1:], side="left") + 1
+        at = 0
+        for end in ends:
+            if len(live) <= max(4 * k, FEW * len(self.ids)) or at >= len(order):
                 break
+            cells, at = order[at:end], end
             size = self.size[cells]
             rows = self.postings[np.repeat(self.begin[cells] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            np.add.at(sure, rows, np.repeat(gain[cells], size))
-            np.add.at(slack, rows, np.repeat(hidden[cells], size))
-            todo.reshape(-1)[cells] = 0
-            remaining = todo.max(axis=1).sum()
-            bar = np.partition(sure[live], len(live) - k)[len(live) - k]
-            live = live[sure[live] + slack[live] + remaining >= bar]
+            self.read += len(rows)
+            n = len(self.ids)
+            seen += np.bincount(rows, np.repeat(gain[cells], size), n)
+            query_left -= np.bincount(rows, np.repeat(weight[cells], size), n)
+            own_left -= np.bincount(rows, np.repeat(energy[cells], size), n)
+            # the bar: exact scores of the likeliest ones so far
+            fresh = live[np.argpartition(seen[live], len(live) - 2 * k)[len(live) - 2 * k :]]
+            fresh = fresh[scores[fresh] == np.iinfo(np.int64).min]
+            scores[fresh] = self.vectors[fresh, :dims] @ query[:dims]
+            bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+            rest = np.sqrt(np.maximum(query_left[live], 0) * np.maximum(own_left[live], 0))
+            live = live[seen[live] + rest + slack >= bar]
+        self.rescored += len(live)
         scores = self.vectors[live, :dims] @ query[:dims]
         top = np.lexsort([self.ids[live], -scores])[:k]
         return self.ids[live][top], scores[top]

@@ -339,6 +339,24 @@ def test_top_k(spark):
     assert topk_search.top_k(none, none).count() == 0
 
 
+def test_top_k_stops_on_proof(spark):
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toArrow()
+    found = np.floor(1024 * np.array(rows["embedding"].to_pylist(), float)).astype(np.int64)
+    ids = rows["vec_id"].to_numpy()
+    index = topk_search.ImpactIndex(ids, found)
+    shares = []
+    for i in range(0, len(ids), 50):
+        index.read = 0
+        got, scores = index.search(found[i], ids[i], 10)
+        shares.append(index.read / found.size)
+        every = found @ found[i]
+        want = [x for x in np.lexsort([ids, -every]) if ids[x] != ids[i]][:10]
+        assert got.tolist() == ids[want].tolist() and scores.tolist() == every[want].tolist()
+    assert np.mean(shares) < 0.7 and index.rescored < 0.25 * len(ids) * len(shares)
+
+
 def test_license_scan(spark, edge, empty):
     apache = license_scan.TEMPLATES["apache-2.0"]
     rows = [(1, f"{prose(1, 50)}\n{apache}\n{prose(2, 50)}"), (2, apache.replace("compliance", "accordance").replace("WARRANTIES", "GUARANTEES")), (3, prose(3, 80)), (4, "released UNDER the mit license"), (5, "licensed under the sea"), (6, None)]
