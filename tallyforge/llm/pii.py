@@ -16,7 +16,10 @@ the next round. Tokens that end with a score of ``TRUST`` or more join the docum
 spans under that kind, unless they lie in a longer one.
 
 Null text counts as empty. Rows with equal doc_id and text get the same spans. Spans
-are in code points, end exclusive.
+are in code points, end exclusive. Context words are whole, however long, as are texts.
+An instance that patterns name under two kinds alike goes to the later kind of ``KINDS``.
+An empty table gives no rows; columns beside doc_id and text are not read (``redact``
+hands them on, whatever their names).
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ RUN = (
     r"(?<!\S)(?:[+(]?[0-9][0-9().:/-]*+(?:[\x20\t][+(]?[0-9][0-9().:/-]*+(?!\S))++"
     rf"|{_NAME}\s(?:[(\[{{]{_AT}[)\]}}]\s[A-Za-z0-9.-]++(?:{_DOT}[A-Za-z0-9-]++)*+|{_AT}\s[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++))"
 )
+#: Code points in which a neighbouring word is looked for before the whole text is.
+WINDOWS = (64, 4096)
 ROUNDS = 3
 TRUST = 0.9
 SUPPORT = 5
@@ -97,6 +102,26 @@ def _tagged(i: int):
     return lambda x: F.struct(F.lit(i).cast("int").alias("k"), x["s"].alias("s"), x["e"].alias("e"))
 
 
+def _word_before(text: Column, at: Column) -> Column:
+    """The whole word that ends before a place; a window that may cut it is widened, at last to all."""
+    word = lambda piece: F.regexp_extract(piece, r"(?<!\S)(\S++)\s*+$", 1)
+    out = word(F.substring(text, F.lit(1), at))
+    for n in reversed(WINDOWS):
+        piece = F.substring(text, F.greatest(at - (n - 1), F.lit(1)), F.least(at, F.lit(n)))
+        out = F.when((at <= n) | ~piece.rlike(r"^\S*+\s*+$"), word(piece)).otherwise(out)
+    return out
+
+
+def _word_after(text: Column, at: Column) -> Column:
+    """The whole word that starts after a place, likewise."""
+    word = lambda piece: F.regexp_extract(piece, r"^\s*+(\S++)", 1)
+    out = word(F.substring(text, at + 1, F.length(text)))
+    for n in reversed(WINDOWS):
+        piece = F.substring(text, at + 1, F.lit(n))
+        out = F.when((F.length(piece) < n) | ~piece.rlike(r"^\s*+\S*+$"), word(piece)).otherwise(out)
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), a base span array per kind and ``others``."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -113,13 +138,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return lambda x: _context(x, kind)
 
     def _context(x: Column, kind: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - 63, F.lit(1)), F.least(x["s"], F.lit(64)))
-        after = F.substring(text, x["e"] + 1, F.lit(64))
-        return F.struct(
-            x["m"].alias("m"), x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"),
-            F.lower(F.regexp_extract(before, r"(\S+)\s*$", 1)).alias("left"),
-            F.lower(F.regexp_extract(after, r"^\s*(\S+)", 1)).alias("right"),
-        )
+        return F.struct(x["m"].alias("m"), x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), F.lower(_word_before(text, x["s"])).alias("left"), F.lower(_word_after(text, x["e"])).alias("right"))
 
     seen = F.concat(*[F.transform(k, context(F.lit(k))) for k in KINDS], F.transform("others", context(F.lit(None).cast("string"))))
     spans = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS]
