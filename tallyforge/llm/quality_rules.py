@@ -5,14 +5,18 @@ The statistic vector of a document that passes the base rules is, in logs: chara
 per word, and percentages of symbols, repeated lines and repeated words. Each group
 gets a minimum-covariance-determinant estimate by distributed concentration steps from
 a median start: the ``SHARE`` of rows nearest by the present estimate (a grouped
-quantile) give the next mean and covariance (grouped sums). A hot group costs no more
+quantile) give the next mean and covariance (grouped sums), until no group's determinant
+still falls by more than ``SETTLED`` of itself. A hot group costs no more
 than its rows: only sums and quantile sketches leave a task. Rows whose Mahalanobis
 distance exceeds the chi-square quantile are rejected.
 
 ``FLOOR`` is the least standard deviation, so statistics that are zero in most of a
 group do not make every other value an outlier. Groups under ``LEAST`` rows pool by
-language, then together; a pool that stays under it rejects by the base rules alone.
-Null text has no words, and so fails. Null languages and sources are groups.
+language, then together; a pool that stays under it rejects by the base rules alone
+(``pool`` names the pool that judged a row). Null text has no words, and so fails. Null
+languages and sources are groups. Rows that repeat count and are judged each; equal
+distances get equal verdicts. Texts of any length count whole. An empty table gives no
+rows; columns beside doc_id, lang, source and text are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,9 @@ CONSISTENCY = 1.487
 #: Chi-square quantile with 4 degrees of freedom at 1 - 1e-6.
 CUTOFF = 33.38
 FLOOR = (0.08, 0.6, 0.6, 0.6)
-STEPS = 4
+#: Concentration steps at most, and the change of the log determinant that ends them.
+STEPS = 15
+SETTLED = 0.01
 LEAST = 40
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -103,12 +109,13 @@ def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Inverse of each group's covariance, whose standard deviations are at least FLOOR."""
     for batch in batches:
-        out = []
+        out, size = [], []
         for cov in batch["cov"].to_pylist():
             m = np.array(cov).reshape(DIMS, DIMS) * CONSISTENCY
             low = np.maximum(np.array(FLOOR) ** 2 - np.diag(m), 0)
             out.append(np.linalg.inv(m + np.diag(low + 1e-12)).reshape(-1).tolist())
-        yield pa.record_batch({"g": batch["g"], "mean": batch["mean"], "inverse": pa.array(out, pa.list_(pa.float64()))})
+            size.append(np.linalg.slogdet(m + np.diag(low + 1e-12))[1])
+        yield pa.record_batch({"g": batch["g"], "mean": batch["mean"], "inverse": pa.array(out, pa.list_(pa.float64())), "spread": pa.array(size, pa.float64())})
 
 
 def _x(i: int) -> Column:
@@ -133,16 +140,20 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame) -> DataFrame:
     """g, mean, inverse for each group in ``rows`` (columns g, x0 .. x3)."""
-    shape = "g string, mean array<double>, inverse array<double>"
+    shape = "g string, mean array<double>, inverse array<double>, spread double"
     quarter = rows.groupBy("g").agg(*[F.percentile_approx(_x(i), [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(DIMS)])
     spread = [((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349) ** 2 for i in range(DIMS)]
     start = quarter.select("g", F.array(*[F.get(f"q{i}", F.lit(1)) for i in range(DIMS)]).alias("mean"), F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)]).alias("cov"))
     now = shared_checkpoint(start.mapInArrow(invert, shape))
     for _ in range(STEPS):
+        before = now
         near = join_checked(rows, now, ["g"]).withColumn("d", _distance()).select("g", "d", *[f"x{i}" for i in range(DIMS)])
         cut = shared_checkpoint(near.groupBy("g").agg(F.percentile_approx("d", SHARE, 10_000).alias("cut")))
         now = shared_checkpoint(_moments(join_checked(near, cut, ["g"]).where("d <= cut")).mapInArrow(invert, shape))
-    return now
+        fallen = before.select("g", F.col("spread").alias("was")).join(now, "g").where(F.col("was") - F.col("spread") > SETTLED)
+        if fallen.isEmpty():
+            break
+    return now.select("g", "mean", "inverse")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -162,10 +173,10 @@ def judge(docs: DataFrame) -> DataFrame:
     enough = keyed.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("g")
     passed = rows.where("NOT base_failed").select("g", *[f"x{i}" for i in range(DIMS)])
     fitted = fit(join_checked(passed, enough.withColumn("ok", F.lit(True)), ["g"]).where("ok").drop("ok"))
-    out = join_checked(rows, fitted, ["g"]).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    out = join_checked(rows, fitted, ["g"]).withColumn("pool", F.when(F.col("mean").isNotNull(), F.col("g"))).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "pool")
