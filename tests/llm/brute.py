@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -193,3 +195,29 @@ def languages(rows, suffixes):
         whole = sum(math.exp(min(v - score[best], 700)) for v in [*score.values(), none])
         out.append((best, 1 / whole, bool(own)))
     return out
+
+
+def robust_distances(vectors, floor, share=0.75, scale=1.487, settled=0.01):
+    """Squared Mahalanobis distances by concentration steps from the medians."""
+    x = np.array(vectors)
+
+    def quantile(v, p):
+        return np.sort(v)[max(math.ceil(p * len(v)) - 1, 0)]
+
+    def inverse(cov):
+        m = cov * scale
+        m = m + np.diag(np.maximum(np.array(floor) ** 2 - np.diag(m), 0) + 1e-12)
+        return np.linalg.inv(m), np.linalg.slogdet(m)[1]
+
+    mean = np.array([quantile(v, 0.5) for v in x.T])
+    inv, size = inverse(np.diag([((quantile(v, 0.75) - quantile(v, 0.25)) / 1.349) ** 2 for v in x.T]))
+    for _ in range(15):
+        off = x - mean
+        d = np.einsum("ij,jk,ik->i", off, inv, off)
+        near = x[d <= quantile(d, share)]
+        mean = near.mean(axis=0)
+        was, (inv, size) = size, inverse(np.cov(near.T, bias=True))
+        if was - size <= settled:
+            break
+    off = x - mean
+    return np.einsum("ij,jk,ik->i", off, inv, off)

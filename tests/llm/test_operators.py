@@ -600,3 +600,65 @@ def test_mixing_targets_of_many_sources(spark):
     sums = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n long")
     want = brute.targets(sizes)
     assert {x.source: pytest.approx(x.target) for x in mixing.source_targets(sums).collect()} == want
+
+
+def test_quality_distances_against_brute_force(docs):
+    rows = quality_rules.judge(docs.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))).where("NOT base_failed").collect()
+    share = lambda a, b: math.log1p(100 * a / b)
+    vectors = [[math.log(r.word_chars / r.n_words), share(r.n_symbols, r.word_chars), share(r.n_dup_lines, r.n_words), share(r.n_repeat_words, r.n_words)] for r in rows]
+    want = brute.robust_distances(vectors, quality_rules.FLOOR)
+    for r, d in zip(rows, want, strict=True):
+        assert r.distance == pytest.approx(d, rel=1e-6, abs=1e-6) and r.kept == (d <= quality_rules.CUTOFF)
+
+
+def test_quality_repeated_rows_and_pools(spark, empty):
+    rows = [(1, prose(1, 90), "en", "s")] * 3 + [(None, prose(i, 60), "en", "s") for i in range(60)] + [(5, None, None, None)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and len({(r.kept, r.distance) for r in got if r.doc_id == 1}) == 1
+    assert {r.pool for r in got if r.lang == "en"} == {'{"lang":"en","source":"s"}'} and [r.kept for r in got if r.doc_id == 5] == [False]
+    assert quality_rules.judge(empty).collect() == []
+
+
+def test_pii_contexts_are_whole_words(spark):
+    word = "w" * 5000
+    text = f"{word} a1 {'v' * 100} b@c.de {word}\n{'u' * 63} 10.0.0.1 {'t' * 64} c3"
+    seen = {x.m: (x.left, x.right) for x in pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().seen}
+    assert seen["a1"] == (word, "v" * 100) and seen["b@c.de"] == ("v" * 100, word) and seen["10.0.0.1"] == ("u" * 63, "t" * 64) and seen["c3"] == ("t" * 64, "")
+
+
+def test_pii_repeated_rows_get_the_same_spans(spark):
+    rows = [(1, "mail a@b.de"), (1, "mail a@b.de"), (None, "mail a@b.de"), (1, None)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii._joined("spans").alias("s")).collect()
+    assert sorted(map(str, ((r.doc_id, r.s) for r in got))) == sorted(map(str, [(1, "email:5:11"), (1, "email:5:11"), (None, "email:5:11"), (1, "")]))
+
+
+def test_packing_long_texts_repeats_and_null_ids(spark):
+    rows = [(None, prose(1, 50)), (None, prose(1, 50)), (3, "x" * 200_000), (4, prose(4, 30_000)), (5, None), (5, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    want = sorted(str((d, len(model.encode(t or "", add_special_tokens=False).ids) + 1)) for d, t in rows)
+    assert sorted(str((r.doc_id, r.doc_tokens)) for r in got if r.start == 0) == want
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
+def test_packing_wastes_little_and_is_first_fit_decreasing(spark, docs):
+    size, got = 2048, packing.pack(docs).collect()
+    tails, groups = [r for r in got if r.length < size], defaultdict(list)
+    for r in tails:
+        groups[r.sequence_id >> 32].append(r)
+    for rows in groups.values():
+        free, order = [], sorted(rows, key=lambda r: -r.length)
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r.sequence_id].append(r.length)
+        for r in order:
+            spot = next((i for i, f in enumerate(free) if f >= r.length), None)
+            if spot is None:
+                free.append(size)
+                spot = len(free) - 1
+            free[spot] -= r.length
+        assert sorted(size - sum(x) for x in bins.values()) == sorted(free)
+    used = len({r.sequence_id for r in got})
+    assert sum(r.length for r in got) >= 0.75 * used * size
