@@ -27,6 +27,8 @@ U64 = np.uint64
 SLICE_BYTES = 1_000_000
 #: A small side is broadcast only when it has at most so many rows.
 BROADCAST_ROWS = 50_000
+#: Partitions that the input's size may ask for.
+MOST_PARTS = 1 << 18
 #: Words of more bytes are hashed one by one.
 LONG = 64
 _LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
@@ -214,7 +216,7 @@ def input_bytes(df: DataFrame) -> int:
     """Stored size of what a plan reads, from its leaves' statistics; runs no job."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     known = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    known = [x for x in known if x < 1 << 58]
+    known = [x for x in known if x < 1 << 50]  # more is a guess at a join's size
     return sum(known) if known else 64_000_000 * shuffle_partitions(df.sparkSession)
 
 
@@ -223,8 +225,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def parts_for(df: DataFrame, part_bytes: int = 8_000_000) -> int:
-    """Partitions of about ``part_bytes`` stored bytes, the session's number at least."""
-    return max(shuffle_partitions(df.sparkSession), -(-input_bytes(df) // part_bytes))
+    """Partitions of about ``part_bytes`` stored bytes, the session's number at least.
+
+    Above ``MOST_PARTS`` (2 TB at the default) they grow in size and not in number, as
+    operators that exchange by shard send messages from every part to every shard.
+    """
+    return max(shuffle_partitions(df.sparkSession), min(MOST_PARTS, -(-input_bytes(df) // part_bytes)))
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:

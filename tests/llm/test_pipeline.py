@@ -42,5 +42,24 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
-def test_run_returns_the_packed_pieces(spark):
-    assert "sequence_id" in corpus_pipeline.run(spark, SF).columns
+def test_run_applies_the_stages_to_all_documents(spark, tmp_path):
+    out = corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, docs.select(key).collect())) and "sequence_id" in out.columns
+
+
+def test_stages_with_nulls_repeats_and_extra_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0)], docs.schema)
+    docs = docs.unionByName(docs.limit(3)).unionByName(odd).withColumns({c: F.lit(i) for i, c in enumerate(["row", "h", "c", "kept", "_size", "rate", "n", "m", "less", "more", "target", "language"])})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert out.columns == docs.columns, name
+        docs = out
+    assert docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0
