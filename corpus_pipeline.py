@@ -3,7 +3,14 @@
 Each stage works on all that its predecessor kept. All but the last return the columns
 of ``documents``. ``run`` writes every stage's result as Parquet into the folder that
 ``spark.checkpoint.dir`` names (the warehouse where it is unset) and reads it again, so
-a lost executor costs at most the stage that runs.
+a lost executor costs at most the stage that runs. A stage's files go when its successor
+has written its own; the last stage's stay, as the result reads them.
+
+Null and empty texts have no language and go in the first stage. Null languages, sources
+and ids are kept: a null source is a source, rows of a null id are told apart by their
+text. Rows that repeat are near duplicates, of which one stays; ties go to the smallest
+doc_id. Texts of any length pass whole. An empty table gives no rows at every stage.
+Extra columns of ``documents`` pass through, whatever their names, up to packing.
 """
 
 from __future__ import annotations
@@ -67,9 +74,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{where.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs
