@@ -97,16 +97,16 @@ def address_number(c: Column) -> Column:
 
 
 def integer_literal(c: Column) -> Column:
-    """C integer literal (hex, octal, decimal, char; suffixes dropped) as long; NULL if none."""
+    """C integer literal (hex, octal, decimal, char; suffixes dropped) of up to 64 bits as decimal(20,0); NULL if none."""
     x = F.regexp_replace(F.lower(F.trim(c)), "[ul]+$", "")
     sign = F.when(x.startswith("-"), -1).otherwise(1)
     body = F.regexp_replace(x, "^[-+]", "")
     return (
-        F.when(body.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(body, 3, 15), 16, 10).cast("long") * sign)
-        .when(body.rlike("^0[0-7]+$"), F.conv(body, 8, 10).cast("long") * sign)
-        .when(body.rlike("^[0-9]{1,18}$"), F.when(body.rlike("^[0-9]{1,18}$"), body).cast("long") * sign)
-        .when(F.trim(c).rlike("^'[^'\\\\]'$"), F.ascii(F.substring(F.trim(c), 2, 1)).cast("long"))
-    )
+        F.when(body.rlike("^0x0*[0-9a-f]{1,16}$"), F.conv(F.regexp_replace(F.substring(body, F.lit(3), F.length(body)), "^0+(?=.)", ""), 16, 10).cast("decimal(20,0)") * sign)
+        .when(body.rlike("^0[0-7]+$"), F.conv(body, 8, 10).cast("decimal(20,0)") * sign)
+        .when(body.rlike("^[0-9]{1,20}$"), F.when(body.rlike("^[0-9]{1,20}$"), body).try_cast("decimal(20,0)") * sign)
+        .when(F.trim(c).rlike("^'[^'\\\\]'$"), F.ascii(F.substring(F.trim(c), 2, 1)).cast("decimal(20,0)"))
+    ).cast("decimal(20,0)")
 
 
 def cwe(c: Column) -> Column:
@@ -140,10 +140,19 @@ def routes(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"https?://[^/\s\"'<>]+(/[A-Za-z0-9_./-]*)"), F.lit(1)))
 
 
-def cast_stripped(c: Column, rounds: int = 4) -> Column:
-    """C expression without casts, enclosing parentheses and blanks, to a bounded fixpoint."""
+_CAST = r"\((?:unsigned|signed|const|struct)?(?:int|char|long|short|void|byte|uint|size_t|undefined\d?|u?int\d+_t)\**\)"
+
+
+def cast_stripped(c: Column) -> Column:
+    """C expression without casts, doubled or enclosing parentheses and blanks, to the fixpoint.
+
+    Each round removes a nesting level at least, so as many rounds as there are opening
+    parentheses reach it.
+    """
+    def once(x: Column) -> Column:
+        x = F.regexp_replace(x, _CAST, "")
+        return F.regexp_replace(F.regexp_replace(x, r"\(\(([^()]*)\)\)", "($1)"), r"^\(([^()]*)\)$", "$1")
+
     x = F.regexp_replace(c, r"\s+", "")
-    for _ in range(rounds):
-        x = F.regexp_replace(x, r"\((?:unsigned|signed|const|struct)?(?:int|char|long|short|void|byte|uint|size_t|undefined\d?|u?int\d+_t)\**\)", "")
-        x = F.regexp_replace(F.regexp_replace(x, r"\(\(([^()]*)\)\)", "($1)"), r"^\(([^()]*)\)$", "$1")
-    return x
+    rounds = F.sequence(F.lit(0), F.length(x) - F.length(F.replace(x, F.lit("("), F.lit(""))))
+    return F.aggregate(rounds, x, lambda y, _: once(y))

@@ -6,6 +6,8 @@ the edges and one anti-join with what is visited. Lineage is cut each level.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,28 +27,28 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 16) -> DataFrame:
     ``edges``: src, dst, ordinal of dst among src's neighbours. ``sources``: node, ordinal.
     Ties go to the parent earlier in the queue, then to the smaller child ordinal.
     """
-    start = Window.orderBy("ordinal", "node")
-    frontier = _cut(sources.groupBy("node").agg(F.min("ordinal").alias("ordinal")).select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.col("node").alias("root"), F.row_number().over(start).cast("long").alias("queue")))
+    # ``queue``: a node's place in the queue as the path of (ordinal, name) steps to it; paths of one level have one length
+    step = lambda node: F.array(F.struct(F.col("ordinal").cast("long").alias("o"), F.col(node).cast("string").alias("n")))
+    frontier = sources.groupBy("node").agg(F.min("ordinal").alias("ordinal"))
+    frontier = _cut(frontier.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.col("node").alias("root"), step("node").alias("queue")))
     seen = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.select(F.col("node").alias("src"), "root", "queue").join(edges, "src")
-        order = F.struct("queue", "ordinal", "dst")
-        found = step.groupBy("dst").agg(F.min(order).alias("o"), F.min_by("src", order).alias("parent"), F.min_by("root", order).alias("root"))
+        tried = frontier.select(F.col("node").alias("src"), "root", "queue").join(edges, "src").withColumn("queue", F.concat("queue", step("dst")))
+        found = tried.groupBy("dst").agg(F.min("queue").alias("queue"), F.min_by("src", "queue").alias("parent"), F.min_by("root", "queue").alias("root"))
         found = found.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
-        place = Window.orderBy("o")
-        frontier = _cut(found.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent", "root", F.row_number().over(place).cast("long").alias("queue")))
+        frontier = _cut(found.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent", "root", "queue"))
         if not frontier.head(1):
             break
         seen = _cut(seen.unionByName(frontier))
     return seen
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """src, dst, depth: every reachable pair with its least number of steps (semi-naive)."""
+def closure(edges: DataFrame) -> DataFrame:
+    """src, dst, depth: every reachable pair with its least number of steps (semi-naive, to the fixpoint)."""
     one = edges.select("src", "dst").distinct()
     delta = _cut(one.withColumn("depth", F.lit(1)))
     seen = delta
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2):
         step = delta.select("src", F.col("dst").alias("mid")).join(one.select(F.col("src").alias("mid"), "dst"), "mid")
         delta = _cut(step.select("src", "dst").distinct().join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if not delta.head(1):
@@ -84,10 +86,18 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_depth: int, lim
     return found.select("path", F.size("path").alias("nodes")).orderBy("nodes", F.array_join("path", "\n")).limit(limit)
 
 
-def propagate(edges: DataFrame, marked: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Nodes that a mark reaches over edges in either direction."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return bfs(both.withColumn("ordinal", F.lit(0)), marked.select("node", F.lit(0).alias("ordinal")), max_rounds).select("node", "depth")
+def propagate(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """node, depth: nodes that a mark reaches over edges in either direction, to the fixpoint."""
+    both = _cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    frontier = _cut(marked.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier
+    for depth in itertools.count(1):
+        found = frontier.select(F.col("node").alias("src")).join(both, "src").select(F.col("dst").alias("node")).distinct()
+        frontier = _cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if not frontier.head(1):
+            break
+        seen = _cut(seen.unionByName(frontier))
+    return seen
 
 
 def dominators(blocks: DataFrame, keys: list[str]) -> DataFrame:

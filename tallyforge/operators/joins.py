@@ -60,9 +60,12 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, tie
 
 
 def next_after(events: DataFrame, keys: Sequence[str], order: Sequence[Column], matches: Column, value: Column, name: str) -> DataFrame:
-    """The first later row of the key that matches (as-of forward), as a value; NULL if none."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return events.withColumn(name, F.first(F.when(matches, value), ignorenulls=True).over(w))
+    """The first later row of the key that matches (as-of forward), as a value; NULL if none.
+
+    ``order``: columns, ascending. The window runs backwards, so its frame only grows.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn(name, F.last(F.when(matches, value), ignorenulls=True).over(w))
 
 
 def gate(left: DataFrame, right: DataFrame, keys: Sequence[str], condition: Column, name: str = "reportable") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMPLETED = ("reported", "clean", "missed", "false_positive")
@@ -71,12 +71,18 @@ def crosstab(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def blocker_inventory(df: DataFrame, keys: Sequence[str], lane: str, target: str) -> DataFrame:
-    """Blocks per key, distinct targets, and the vulnerable-minus-fixed difference, ranked."""
+    """Blocks per key, distinct targets with the first five by name, and the vulnerable-minus-fixed difference.
+
+    Targets are counted one row each, so no set of a group's targets is ever held.
+    """
     bad, good = _n(F.col(lane) == "vulnerable"), _n(F.col(lane) == "fixed")
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("blocks"), bad.alias("vulnerable"), good.alias("fixed"), (bad - good).alias("difference"),
-        F.count_distinct(target).alias("targets"), F.array_join(F.slice(F.array_sort(F.collect_set(F.col(target).cast("string"))), 1, 5), ",").alias("first_targets"),
+    each = df.groupBy(*keys, F.col(target).cast("string").alias("_t")).agg(F.count(F.lit(1)).alias("blocks"), bad.alias("vulnerable"), good.alias("fixed"))
+    each = each.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_last())))
+    first = F.array_join(F.array_sort(F.collect_list(F.when((F.col("_rn") <= 5), F.col("_t")))), ",")
+    out = each.groupBy(*keys).agg(
+        F.sum("blocks").alias("blocks"), F.sum("vulnerable").alias("vulnerable"), F.sum("fixed").alias("fixed"), F.count("_t").alias("targets"), first.alias("first_targets"),
     )
+    return out.withColumn("difference", F.col("vulnerable") - F.col("fixed"))
 
 
 def metric_delta(current: DataFrame, baseline: DataFrame, lower_is_better: Column) -> DataFrame:

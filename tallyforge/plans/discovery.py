@@ -13,7 +13,7 @@ def operations(functions: DataFrame, specs: DataFrame) -> DataFrame:
     call = functions.select("binary", F.col("name").alias("function"), F.explode("pcode_calls").alias("c")).select("binary", "function", X.address(F.col("c.call_address")).alias("address"), F.lit("call").alias("kind"), X.operation_name(F.col("c.callee")).alias("alias"), F.transform("c.args", lambda a: a["repr"]).alias("arguments"))
     access = lambda column, kind, width: functions.select("binary", F.col("name").alias("function"), F.explode(column).alias("c")).select("binary", "function", X.address(F.col("c.operation_address")).alias("address"), F.lit(kind).alias("kind"), F.concat(F.lit(kind + "_"), F.coalesce(F.col(f"c.{width}").cast("string"), F.lit("?"))).alias("alias"), F.col("c.address_vars").alias("arguments"))
     every = call.unionByName(access("pcode_stores", "store", "write_width")).unionByName(access("pcode_loads", "load", "read_width"))
-    known = every.join(F.broadcast(specs.select("alias", F.col("name").alias("canonical"), "semantics", "effect_kind")), "alias", "left")  # a fixed dimension of a few hundred rows
+    known = every.join(specs.select("alias", F.col("name").alias("canonical"), "semantics", "effect_kind"), "alias", "left")  # small: AQE broadcasts it by its measured size
     return known.select("binary", "function", "address", "kind", F.coalesce("canonical", "alias").alias("name"), "semantics", "effect_kind", "arguments").distinct()
 
 
@@ -74,7 +74,10 @@ def sink_audit(ops: DataFrame, n: int = 20) -> DataFrame:
     """Call names without a specification, most frequent first, with five example places."""
     place = F.concat_ws(":", "binary", "function", "address")
     unknown = ops.where("kind = 'call' AND semantics IS NULL")
-    return unknown.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(place)), 1, 5).alias("examples")).orderBy(F.desc("n"), "name").limit(n)
+    each = unknown.groupBy("name", place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    each = each.withColumn("_rn", F.row_number().over(Window.partitionBy("name").orderBy("place")))
+    first = F.array_sort(F.collect_list(F.when(F.col("_rn") <= 5, F.col("place"))))
+    return each.groupBy("name").agg(F.sum("n").alias("n"), first.alias("examples")).orderBy(F.desc("n"), "name").limit(n)
 
 
 def block_relation(blocks: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -87,11 +87,12 @@ def adjudication_crosstab(spark: SparkSession, d: str) -> DataFrame:
     return metrics.crosstab(t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"), ["l_returnflag", "l_linestatus", "l_quantity"])
 
 
-@query("""SELECT l_partkey, l_suppkey, max(l_extendedprice) AS best_price, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags,
-    array_to_string(list_sort(list(DISTINCT strftime(l_shipdate, '%Y-%m'))), ',') AS months, count(*) AS merged FROM lineitem GROUP BY 1, 2""")
+@query("""WITH g AS (SELECT l_partkey, l_suppkey, max({'p': l_extendedprice, 'o': l_orderkey, 'n': l_linenumber}) AS m, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags,
+    array_to_string(list_sort(list(DISTINCT strftime(l_shipdate, '%Y-%m'))), ',') AS months, count(*) AS merged FROM lineitem GROUP BY 1, 2)
+    SELECT l_partkey, l_suppkey, m.p AS best_price, m.o AS l_orderkey, m.n AS l_linenumber, flags, months, merged FROM g""")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
-    li = t(spark, d, "lineitem").select("l_partkey", "l_suppkey", F.col("l_extendedprice").alias("best_price"), F.array("l_returnflag").alias("flags"), F.array(F.date_format("l_shipdate", "yyyy-MM")).alias("months"))
-    out = dedupe.merge_duplicates(li, ["l_partkey", "l_suppkey"], F.col("best_price"), ["best_price"], ["flags", "months"])
+    li = t(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("best_price"), F.array("l_returnflag").alias("flags"), F.array(F.date_format("l_shipdate", "yyyy-MM")).alias("months"))
+    out = dedupe.merge_duplicates(li, ["l_partkey", "l_suppkey"], F.col("best_price"), ["best_price", "l_orderkey", "l_linenumber"], ["flags", "months"])
     return out.withColumn("flags", F.array_join("flags", ",")).withColumn("months", F.array_join("months", ","))
 
 
@@ -494,10 +495,10 @@ def reason_normalizer(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").select(X.normalize_reason(raw).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH g AS (SELECT p_brand, p_container, count(*) FILTER (lane = 'vulnerable') AS vulnerable, count(*) FILTER (lane = 'fixed') AS fixed FROM (SELECT p_brand, p_type AS p_container, CASE WHEN p_size > 25 THEN 'vulnerable' ELSE 'fixed' END AS lane, p_retailprice FROM part WHERE p_size % 3 > 0) GROUP BY 1, 2)
+@query("""WITH g AS (SELECT p_brand, p_container, count(*) FILTER (lane = 'vulnerable') AS vulnerable, count(*) FILTER (lane = 'fixed') AS fixed FROM (SELECT p_brand, p_type AS p_container, CASE WHEN p_size > 25 THEN 'vulnerable' ELSE 'fixed' END AS lane, p_retailprice FROM part) GROUP BY 1, 2)
     SELECT p_brand || '/' || p_container AS grp, vulnerable, fixed, vulnerable > 0 AND fixed = 0 AS separated FROM g""")
 def historical_separation(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "part").where("p_size % 3 > 0").select(F.concat_ws("/", "p_brand", "p_type").alias("grp"), F.when(F.col("p_size") > 25, "vulnerable").otherwise("fixed").alias("lane"))
+    p = t(spark, d, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("grp"), F.when(F.col("p_size") > 25, "vulnerable").otherwise("fixed").alias("lane"))
     return metrics.lane_separation(p, "grp", "lane", F.lit(True))
 
 

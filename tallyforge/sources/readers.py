@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import clex
 from ..functions import text as X
 from . import schemas as S
 
@@ -178,23 +179,39 @@ def route_inventory(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array_distinct(found)).alias("route"))
 
 
+def _within(df: DataFrame) -> list[str]:
+    """Edges stay inside a binary where the tables name it."""
+    return ["binary"] if "binary" in df.columns else []
+
+
+def _known(calls: DataFrame, names: DataFrame) -> DataFrame:
+    own = [c for c in _within(calls) if c in names.columns]
+    return calls.join(names.select(*own, F.col("name").alias("dst")).distinct(), [*own, "dst"], "left_semi").select(*_within(calls), "src", "dst")
+
+
 def text_call_edges(sources: DataFrame, names: DataFrame) -> DataFrame:
-    """src, dst: call tokens in function texts that are known names. ``sources``: name, text."""
-    token = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))))
-    calls = sources.select(F.col("name").alias("src"), token.alias("dst")).where("src <> dst")
-    return calls.join(names.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst")
+    """src, dst: call tokens in function texts that are known names, of the same binary where given.
+
+    ``sources``: name, text. Comments and the contents of strings are no calls; a
+    function that calls itself has an edge to itself.
+    """
+    plain = clex.mask_strings_udf(F.col("text"))
+    token = F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))))
+    # a text's own signature is no call: its name counts only where it occurs again
+    again = F.regexp_count(plain, F.concat(F.lit(r"\b"), F.col("name"), F.lit(r"\s*\(")))
+    calls = sources.select(*_within(sources), F.col("name").alias("src"), token.alias("dst"), again.alias("_own"))
+    return _known(calls.where("src <> dst OR _own > 1").drop("_own"), names)
 
 
 def thread_edges(sources: DataFrame, names: DataFrame) -> DataFrame:
     """src, dst: third arguments of thread creation that are known names."""
     target = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"pthread_create\s*\([^,]*,[^,]*,\s*(?:\([^)]*\)\s*)?&?\s*([A-Za-z_]\w*)"), F.lit(1))))
-    calls = sources.select(F.col("name").alias("src"), target.alias("dst"))
-    return calls.join(names.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return _known(sources.select(*_within(sources), F.col("name").alias("src"), target.alias("dst")), names)
 
 
 def pcode_edges(functions_: DataFrame) -> DataFrame:
-    calls = functions_.select(F.col("name").alias("src"), F.explode("pcode_calls").alias("c")).select("src", F.col("c.callee").alias("dst")).distinct()
-    return calls.join(functions_.select(F.col("name").alias("dst")), "dst", "left_semi").select("src", "dst")
+    calls = functions_.select(*_within(functions_), F.col("name").alias("src"), F.explode("pcode_calls").alias("c")).select(*_within(functions_), "src", F.col("c.callee").alias("dst")).distinct()
+    return _known(calls, functions_)
 
 
 def cached_edges(spark: SparkSession, path: str) -> DataFrame:

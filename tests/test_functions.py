@@ -16,10 +16,11 @@ def test_text_functions(spark):
     assert [one(spark, x, X.reason_category) for x in ("unsupported x", "file not found", "timed out", "blocked", "fine")] == ["unsupported", "missing", "timeout", "blocked", None]
     assert one(spark, "std::__builtin_memcpy@GLIBC_2.2", X.operation_name) == "memcpy"
     assert [one(spark, x, X.address) for x in ("0X00401a", "401A", "zz", "0")] == ["0x401a", "0x401a", None, "0x0"]
-    assert [one(spark, x, X.integer_literal) for x in ("0x1fUL", "017", "42u", "'A'", "-8", "n")] == [31, 15, 42, 65, -8, None]
+    assert [one(spark, x, X.integer_literal) for x in ("0x1fUL", "017", "42u", "'A'", "-8", "n", "0xffffffffffffffff", "0x00000000000000001")] == [31, 15, 42, 65, -8, None, 2**64 - 1, 1]
     assert one(spark, "cwe-121 and CWE_0078, CWE-121", X.cwe) == ["CWE-121", "CWE-78"]
     assert one(spark, "/usr/bin/Tool-1.ELF", X.binary_key) == "tool_1"
     assert one(spark, "((char *)(uint)(x))", X.cast_stripped) == "x"
+    assert one(spark, "((((((((int)(((long)(y + 1))))))))))", X.cast_stripped) == "y+1"
     assert one(spark, "aB3dE6gH9jK2mN5pQ8sT", X.token_shape) and not one(spark, "a" * 30, X.token_shape) and not one(spark, "exampleAB3dE6gH9jK2mN5p", X.token_shape)
     assert one(spark, "input stage", lambda c: X.blocker_stage(F.lit(None).cast("string"), c)) == "input_topology"
 

@@ -96,3 +96,38 @@ def test_dimensions_and_regions(spark):
     assert {(r.var_name, r.size_bytes) for r in declared.collect()} == {("buf", 32), ("n", 16)}
     regions = spark.createDataFrame([("f", -64, 8, "buf"), ("f", -32, 4, "n"), ("f", -20, 4, "i")], "function string, start_offset int, size_bytes long, var_name string")
     assert {(r.var_name, r.size_bytes) for r in dims.repaired_regions(regions, declared).collect()} == {("buf", 32), ("n", 12), ("i", 4)}
+
+
+def test_long_chains_reach_their_end(spark):
+    from tallyforge.operators import graph
+
+    chain = spark.range(80).selectExpr("CAST(id AS STRING) AS src", "CAST(id + 1 AS STRING) AS dst")
+    assert graph.closure(chain).where("src = '0'").count() == 80
+    assert graph.propagate(chain, spark.createDataFrame([("40",)], "node string")).agg({"depth": "max"}).first()[0] == 40
+
+
+def test_breadth_first_order_goes_by_queue(spark):
+    from tallyforge.operators import graph
+
+    edges = spark.createDataFrame([("a", "x", 1), ("a", "y", 0), ("x", "z", 0), ("y", "z", 5), ("b", "z", 0), ("z", "a", 0)], "src string, dst string, ordinal int")
+    got = {r.node: (r.depth, r.parent, r.root) for r in graph.bfs(edges, spark.createDataFrame([("a", 0)], "node string, ordinal int")).collect()}
+    assert got == {"a": (0, None, "a"), "x": (1, "a", "a"), "y": (1, "a", "a"), "z": (2, "y", "a")}
+
+
+def test_later_rows_of_one_large_key(spark):
+    from pyspark.sql import functions as F
+    from tallyforge.operators import intervals, joins
+
+    rows = spark.range(200_000).selectExpr("1 AS k", "id AS at", "id % 1000 AS size")
+    out = joins.next_after(rows, ["k"], [F.col("at")], F.col("size") == 999, F.col("at"), "next")
+    assert out.where("at < 199999").where("next <> at + 999 - size AND size < 999 OR next <> at + 1000 AND size = 999").count() == 0
+    far = intervals.next_boundary(rows, ["k"], "at", "size", 8)
+    assert far.where("size = 999 AND boundary <> at + 9").count() == 0 and far.where("boundary IS NULL").count() == 1
+
+
+def test_merged_scalars_come_from_one_row(spark):
+    from pyspark.sql import functions as F
+    from tallyforge.operators import dedupe
+
+    rows = spark.createDataFrame([(1, 5, "a", 1, ["x"]), (1, 5, "b", 0, ["y"]), (1, 4, "c", 9, ["x"])], "k int, p int, s string, n int, u array<string>")
+    assert dedupe.merge_duplicates(rows, ["k"], F.col("p"), ["s", "n"], ["u"]).collect() == [(1, "b", 0, ["x", "y"], 3)]
