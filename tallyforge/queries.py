@@ -572,3 +572,6 @@ def trace_construction(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     steps = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(steps, lambda x: x["role"]), ">").alias("roles"), F.count(F.lit(1)).alias("turns"))
+
+
+from . import rule_queries  # noqa: E402, F401  (registers its queries here)
