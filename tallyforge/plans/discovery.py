@@ -20,7 +20,7 @@ def operations(functions: DataFrame, specs: DataFrame) -> DataFrame:
 def memory_objects(functions: DataFrame) -> DataFrame:
     """Stack objects of the exports, with capacity."""
     r = functions.select("binary", F.col("name").alias("function"), F.explode("stack_regions").alias("r"))
-    name = F.coalesce(F.element_at("r.var_names", 1), F.concat(F.lit("stack"), X.stack_offset(F.col("r.start_offset").cast("long"))))
+    name = F.coalesce(F.get("r.var_names", F.lit(0)), F.concat(F.lit("stack"), X.stack_offset(F.col("r.start_offset").cast("long"))))
     return r.select("binary", "function", F.concat_ws(":", F.lit("stack"), "function", F.col("r.start_offset").cast("string")).alias("identity"), name.alias("name"), F.lit("stack").alias("kind"), F.col("r.size_bytes").cast("long").alias("capacity_bytes"))
 
 
@@ -41,7 +41,7 @@ def literal_consumers(literals: DataFrame, ops: DataFrame) -> DataFrame:
 def lifecycle_events(ops: DataFrame) -> DataFrame:
     """allocate / use / release rows of resources named by a call's first argument."""
     action = F.when(F.col("semantics") == "allocate", "acquire").when(F.col("semantics") == "release", "release").when(F.col("semantics").isNotNull(), "use")
-    return ops.where("kind = 'call'").select("binary", "function", "address", X.cast_stripped(F.element_at("arguments", 1)).alias("identity"), action.alias("action")).where("action IS NOT NULL AND identity IS NOT NULL")
+    return ops.where("kind = 'call'").select("binary", "function", "address", X.cast_stripped(F.get("arguments", F.lit(0))).alias("identity"), action.alias("action")).where("action IS NOT NULL AND identity IS NOT NULL")
 
 
 #: Sinks of the text rules, and the argument that must be untrusted.
