@@ -60,6 +60,42 @@ def calls(text: str) -> list[tuple[str, list[str], int]]:
     return out
 
 
+def statements(text: str) -> list[tuple[int, int, str]]:
+    """(line, depth, statement) of a C text: what ends at ``;``, ``{`` or ``}`` outside brackets, over line breaks.
+
+    Comments are gone, strings stay. ``depth`` counts the open braces before the statement.
+    """
+    text = strip_comments(text)
+    plain = mask_strings(text)
+    out, start, depth, inner = [], 0, 0, 0
+    for i, c in enumerate(plain):
+        inner += {"(": 1, "[": 1, ")": -1, "]": -1}.get(c, 0)
+        if c in "{};" and (inner <= 0 or c != ";"):
+            body = text[start:i]
+            if body.strip():
+                out.append((plain.count("\n", 0, start + len(body) - len(body.lstrip())) + 1, depth, re.sub(r"\s+", " ", body.strip())))
+            depth += {"{": 1, "}": -1}.get(c, 0)
+            start, inner = i + 1, 0
+    return out
+
+
+def function_ranges(text: str) -> list[tuple[str, int, int]]:
+    """(name, first line, last line) of C function bodies, by brace matching on masked text."""
+    plain = mask_strings(strip_comments(text))
+    out, at = [], 0
+    for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const\s*)?\{", plain):
+        if m.start() < at or m[1] in {"if", "for", "while", "switch"}:
+            continue
+        depth, i = 1, m.end()
+        while i < len(plain) and depth:
+            depth += {"{": 1, "}": -1}.get(plain[i], 0)
+            i += 1
+        if depth == 0:
+            out.append((m[1], plain.count("\n", 0, m.start()) + 1, plain.count("\n", 0, i) + 1))
+            at = i
+    return out
+
+
 class _Affine:
     """Recursive descent over + - * / % << >> & | ~ and brackets, to constant + coefficients."""
 
@@ -178,5 +214,8 @@ strip_comments_udf = _udf(strip_comments, "string")
 mask_strings_udf = _udf(mask_strings, "string")
 split_arguments_udf = _udf(split_arguments, "array<string>")
 calls_udf = _udf(lambda x: [{"name": n, "args": a, "line": line} for n, a, line in calls(x)], "array<struct<name:string,args:array<string>,line:int>>")
+statements_udf = _udf(lambda x: [{"line": n, "depth": k, "text": t} for n, k, t in statements(x)], "array<struct<line:int,depth:int,text:string>>")
 constant_udf = _udf(constant, "long")
 string_length_udf = _udf(string_length, "int")
+scanf_udf = _udf(lambda x: [{"conversion": c, "width": w} for c, w in scanf_conversions(x)], "array<struct<conversion:string,width:int>>")
+function_ranges_udf = _udf(lambda x: [{"name": n, "first": a, "last": b} for n, a, b in function_ranges(x)], "array<struct<name:string,first:int,last:int>>")

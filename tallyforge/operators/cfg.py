@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clex import function_ranges  # noqa: F401
+
 
 def paths_avoiding(blocks: DataFrame, queries: DataFrame, key: str = "function") -> DataFrame:
     """key, id, reachable: whether a path leads from ``source`` to ``target`` without a barrier block.
@@ -63,24 +65,3 @@ def propagate_summaries(summaries: DataFrame, callsites: DataFrame, bind: Column
         if not delta.head(1):
             break
     return every
-
-
-def function_ranges(text: str) -> list[tuple[str, int, int]]:
-    """(name, first line, last line) of C function bodies, by brace matching on masked text."""
-    import re
-
-    from ..functions.clex import mask_strings, strip_comments
-
-    plain = mask_strings(strip_comments(text))
-    out, at = [], 0
-    for m in re.finditer(r"\b([A-Za-z_]\w*)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const\s*)?\{", plain):
-        if m.start() < at or m[1] in {"if", "for", "while", "switch"}:
-            continue
-        depth, i = 1, m.end()
-        while i < len(plain) and depth:
-            depth += {"{": 1, "}": -1}.get(plain[i], 0)
-            i += 1
-        if depth == 0:
-            out.append((m[1], plain.count("\n", 0, m.start()) + 1, plain.count("\n", 0, i) + 1))
-            at = i
-    return out
