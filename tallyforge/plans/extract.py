@@ -334,3 +334,24 @@ def candidate_states(candidates: DataFrame, taxonomy: DataFrame) -> DataFrame:
         F.coalesce("_backend", F.lit("unsupported")).alias("backend"), F.coalesce("severity", F.lit("unknown")).alias("severity"),
         F.when(F.col("_backend").isNull(), "blocked").when(F.col("verdict").isin("overflow", "unbounded"), "proof_ready").otherwise("candidate").alias("status"), open_.alias("blockers"),
     )
+
+
+# p-code of exports
+
+
+def pcode_candidates(functions: DataFrame) -> DataFrame:
+    """Writes by exported calls and stores into stack regions, classified as C text's are.
+
+    ``functions``: rows of ``readers.functions``. A call's destination is its argument's
+    variable and its width the size argument's constant; a store's are its first address
+    variable and its write width, at the first address constant.
+    """
+    base = functions.select("binary", F.col("name").alias("function"), "pcode_calls", "pcode_stores", "stack_regions")
+    regions = base.select("binary", "function", F.explode("stack_regions").alias("r")).select("binary", "function", F.explode("r.var_names").alias("target"), F.col("r.size_bytes").cast("long").alias("capacity"))
+    table = functions.sparkSession.createDataFrame(WRITERS, "name string, bound string, dest int, src int, size int").where("bound = 'bounded'")
+    c = base.select("binary", "function", F.explode("pcode_calls").alias("c")).select("binary", "function", X.address(F.col("c.call_address")).alias("address"), X.operation_name(F.col("c.callee")).alias("name"), F.col("c.args").alias("args"))
+    c = c.join(F.broadcast(table), "name")  # a table of WRITERS' rows
+    calls_ = c.select("binary", "function", "address", F.lit("pcode_call").alias("kind"), F.col("name").alias("sink"), F.get("args", F.col("dest"))["var_name"].alias("target"), F.get("args", F.col("size"))["constant"].alias("width"), F.lit(0).cast("bigint").alias("_offset"))
+    s = base.select("binary", "function", F.explode("pcode_stores").alias("s")).select("binary", "function", X.address(F.col("s.operation_address")).alias("address"), F.lit("pcode_store").alias("kind"), F.lit(None).cast("string").alias("sink"), F.get("s.address_vars", F.lit(0)).alias("target"), F.col("s.write_width").cast("bigint").alias("width"), F.coalesce(F.get("s.address_constants", F.lit(0)), F.lit(0).cast("bigint")).alias("_offset"))
+    out = _classified(calls_.unionByName(s).join(regions, ["binary", "function", "target"]), F.col("_offset"), F.col("_offset"))
+    return out.select("binary", "function", "address", "kind", "sink", "target", "verdict", "relation", "width", "capacity")

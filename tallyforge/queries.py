@@ -574,4 +574,4 @@ def trace_construction(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.array_join(F.transform(steps, lambda x: x["role"]), ">").alias("roles"), F.count(F.lit(1)).alias("turns"))
 
 
-from . import extract_queries, proof_queries, rule_queries, source_queries  # noqa: E402, F401  (they register their queries here)
+from . import extract_queries, gate_queries, proof_queries, rule_queries, source_queries  # noqa: E402, F401  (they register their queries here)
