@@ -353,13 +353,13 @@ def release_use_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 REACH = """WITH c AS (SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
-      row_number() OVER (PARTITION BY user_id, CAST(json_extract(props, '$.k') AS INTEGER) ORDER BY ts, event_id) > 1 AS reused, ts FROM events),
-    r AS (SELECT user_id, event_id, CAST(step AS INTEGER) AS step, reused, CAST(sum(CASE WHEN reused THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY step) AS BIGINT) AS reached FROM c)"""
+      row_number() OVER (PARTITION BY user_id, CAST(json_extract(props, '$.k') AS INTEGER) ORDER BY ts, event_id) = 1 AS fresh, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) > 1 AS reused, ts FROM events),
+    r AS (SELECT user_id, event_id, CAST(step AS INTEGER) AS step, reused, CAST(sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY step) AS BIGINT) AS reached FROM c)"""
 
 
 def reach(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").select("event_id", "user_id", "ts", F.get_json_object("props", "$.k").cast("int").alias("item"), F.lit(1).alias("cost"))
-    return lifecycle.cumulative_reach(e, ["user_id"], [F.col("ts"), F.col("event_id")], "item", "cost")
+    e = t(spark, d, "events").select("event_id", "user_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("item"), F.lit(1).alias("cost"))
+    return lifecycle.cumulative_reach(e, ["user_id"], [F.col("ts"), F.col("event_id")], "item", "cost", "event_type")
 
 
 @query(REACH + " SELECT user_id, event_id, step, reused, reached FROM r")
