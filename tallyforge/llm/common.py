@@ -11,6 +11,8 @@ not the batch.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import sys
 import types
@@ -41,11 +43,24 @@ _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def worker_cache(owner: str) -> dict:
     """What a worker process keeps between tasks; only one operator's at a time."""
     kept = sys.modules.setdefault("_tallyforge_kept", types.ModuleType("_tallyforge_kept")).__dict__
-    for name in [x for x in kept if not x.startswith("__") and x != owner]:
+    others = [x for x in kept if not x.startswith("__") and x != owner]
+    for name in others:
         del kept[name]
+    if others:
+        _return_memory()
     return kept.setdefault(owner, {})
 
 
+def _return_memory() -> None:
+    """Hands freed memory of this process back to the system, as its allocators would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its allocator decides
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values."""
     x = x ^ (x >> U64(30))
