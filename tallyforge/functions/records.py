@@ -74,3 +74,9 @@ def grounded(refs: Column, facts: Column) -> Column:
 def merge_maps(a: Column, b: Column) -> Column:
     """Union of two maps; the second wins."""
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.coalesce(F.map_contains_key(b, k), F.lit(False))), b)
+
+
+def ordered_lists(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """keys, items (the values of a key's rows in order) and n. A key's rows become one value: keep keys fine."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
+    return df.groupBy(*keys).agg(F.transform(rows, lambda x: x["_v"]).alias("items"), F.count(F.lit(1)).alias("n"))

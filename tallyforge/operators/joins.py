@@ -79,3 +79,10 @@ def expectation_errors(expected: DataFrame, observed: DataFrame, forbidden: Data
     missing = expected.select(*k).distinct().join(observed.select(*k), k, "left_anti").withColumn("error", F.lit("missing_expected"))
     present = observed.select(*k).distinct().join(forbidden.select(*k), k, "left_semi").withColumn("error", F.lit("forbidden_present"))
     return missing.unionByName(present)
+
+
+def enrich(seeds: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Seeds with the columns of a chain of tables, each joined on its keys; seeds that any table lacks go."""
+    for table, keys in tables:
+        seeds = seeds.join(table, list(keys))
+    return seeds

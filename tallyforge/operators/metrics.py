@@ -129,3 +129,10 @@ def lane_separation(df: DataFrame, group: str, lane: str, matches: Column) -> Da
     """Matches per group pivoted by lane; separated when only the vulnerable lane has any."""
     out = df.groupBy(group).agg(_n(matches & (F.col(lane) == "vulnerable")).alias("vulnerable"), _n(matches & (F.col(lane) == "fixed")).alias("fixed"))
     return out.withColumn("separated", (F.col("vulnerable") > 0) & (F.col("fixed") == 0))
+
+
+def scale_rollup(df: DataFrame, by: Sequence[str], counts: dict[str, Column], distincts: dict[str, str], medians_: dict[str, str], tops: dict[str, str]) -> DataFrame:
+    """Per group: rows that meet conditions, distinct values, medians and maxima, under their names."""
+    return df.groupBy(*by).agg(
+        *[_n(c).alias(n) for n, c in counts.items()], *[F.count_distinct(c).alias(n) for n, c in distincts.items()], *[F.median(c).alias(n) for n, c in medians_.items()], *[F.max(c).alias(n) for n, c in tops.items()]
+    )

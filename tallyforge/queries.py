@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import records as R
 from .functions import text as X
 from .operators import dedupe, differential, graph, intervals, joins, lifecycle, metrics, scheduling, selection
+from .sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -400,14 +401,15 @@ def measured_cost(spark: SparkSession, d: str) -> DataFrame:
     return metrics.medians(t(spark, d, "events").where("value > 0"), ["event_type"], F.col("value"))
 
 
-@query("""SELECT c_custkey, substr(sha256('seed' || chr(0) || c_custkey), 1, 16) AS digest FROM customer""")
+@query("""SELECT c_custkey, CAST(CAST('0x' || substr(sha256('seed' || chr(0) || c_custkey), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS score FROM customer""")
 def seeded_random_order(spark: SparkSession, d: str) -> DataFrame:
-    c = t(spark, d, "customer").select("c_custkey")
-    scored = c.withColumn("score", scheduling.seeded_score("seed", F.col("c_custkey")))
-    return scored.select("c_custkey", F.substring(F.sha2(F.concat(F.lit("seed"), F.decode(F.unhex(F.lit("00")), "UTF-8"), F.col("c_custkey").cast("string")), 256), 1, 16).alias("digest"))
+    return t(spark, d, "customer").select("c_custkey", scheduling.seeded_score("seed", F.col("c_custkey")).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT p_brand, p_partkey, CAST(p_size AS DOUBLE) AS score, p_retailprice AS cost, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part),
+    r AS (SELECT p_brand, p_partkey, score, cost, k, cost <= 20000 AS selected, CASE WHEN cost <= 20000 THEN cost ELSE 0.0::DOUBLE END AS spent FROM o WHERE k = 1 UNION ALL
+      SELECT o.p_brand, o.p_partkey, o.score, o.cost, o.k, r.spent + o.cost <= 20000, CASE WHEN r.spent + o.cost <= 20000 THEN r.spent + o.cost ELSE r.spent END FROM r JOIN o ON o.p_brand = r.p_brand AND o.k = r.k + 1)
+    SELECT p_brand, p_partkey, score, cost, k AS rank, selected, spent FROM r""")
 def budget_schedule(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("score"), F.col("p_retailprice").alias("cost"))
     return scheduling.budget_schedule(p, ["p_brand"], "score", "p_partkey", "cost", 20_000.0)
@@ -470,10 +472,10 @@ def literal_scan(spark: SparkSession, d: str) -> DataFrame:
     return words.where(X.token_shape(F.col("x"), classes=2)).select("doc_id", X.fingerprint(F.col("x")).alias("fingerprint"), F.length("x").alias("length"))
 
 
-@query(r"""WITH r AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(/[A-Za-z0-9_./-]*)', 1))) AS route FROM pages) SELECT route, count(DISTINCT page_id) AS pages, min(page_id) AS first_page FROM r GROUP BY 1""")
+@query(r"""WITH r AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '["''](/[A-Za-z0-9_./-]{2,})["'']', 1))) AS route FROM pages) SELECT route, count(DISTINCT page_id) AS pages, min(page_id) AS first_page FROM r GROUP BY 1""")
 def route_inventory(spark: SparkSession, d: str) -> DataFrame:
-    r = t(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[A-Za-z0-9_./-]*)'), F.lit(1)))).alias("route"))
-    return r.groupBy("route").agg(F.count_distinct("page_id").alias("pages"), F.min("page_id").alias("first_page"))
+    r = readers.route_inventory(t(spark, d, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("text")))
+    return r.groupBy("route").agg(F.count_distinct("path").alias("pages"), F.min("path").alias("first_page"))
 
 
 @query("""SELECT source, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || sha256(text), chr(10) ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0'))) AS digest, count(*) AS files FROM documents GROUP BY 1""")
@@ -556,22 +558,23 @@ def status_machine(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_suppkey % 10 AS grp, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned, count(DISTINCT l_partkey) AS parts, median(l_quantity) AS median_quantity, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1""")
 def scale_rollup(spark: SparkSession, d: str) -> DataFrame:
     li = t(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("grp"), "l_returnflag", "l_partkey", "l_quantity", "l_shipdate")
-    return li.groupBy("grp").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_distinct("l_partkey").alias("parts"), F.median("l_quantity").alias("median_quantity"), F.max("l_shipdate").alias("last_ship"))
+    return metrics.scale_rollup(li, ["grp"], {"returned": F.col("l_returnflag") == "R"}, {"parts": "l_partkey"}, {"median_quantity": "l_quantity"}, {"last_ship": "l_shipdate"})
 
 
 @query("""SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_totalprice > 300000""")
 def seed_enrichment(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders").where("o_totalprice > 300000").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    n = t(spark, d, "nation").join(t(spark, d, "region").where("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey")
+    n = t(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))
     c = t(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey"))
-    return o.join(c, "c_custkey").join(n.select("n_nationkey", "n_name"), "n_nationkey").select("o_orderkey", "c_mktsegment", "n_name")
+    found = joins.enrich(o, [(c, ["c_custkey"]), (n, ["n_nationkey"]), (t(spark, d, "region").where("r_name = 'ASIA'"), ["r_regionkey"])])
+    return found.select("o_orderkey", "c_mktsegment", "n_name")
 
 
 @query("""SELECT conv_id, array_to_string(list(role ORDER BY turn, role, text), '>') AS roles, count(*) AS turns FROM conversations GROUP BY 1""")
 def trace_construction(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    steps = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(steps, lambda x: x["role"]), ">").alias("roles"), F.count(F.lit(1)).alias("turns"))
+    out = R.ordered_lists(c, ["conv_id"], ["turn", "role", "text"], "role")
+    return out.select("conv_id", F.array_join("items", ">").alias("roles"), F.col("n").alias("turns"))
 
 
 from . import extract_queries, gate_queries, proof_queries, rule_queries, source_queries  # noqa: E402, F401  (they register their queries here)

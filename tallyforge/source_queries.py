@@ -89,7 +89,7 @@ def cached_call_graph(spark: SparkSession, d: str) -> DataFrame:
     return readers.cached_edges(spark, documents_of(made, folder(spark, d, "call_graph")))
 
 
-@query("""SELECT DISTINCT lower(unnest([n_name, 'libc::' || n_name || '2'])) AS x, n_name AS name, 'r' || n_regionkey AS semantics FROM nation""".replace("lower(unnest([n_name, 'libc::' || n_name || '2'])) AS x", "lower(unnest([n_name, n_name || '2'])) AS alias"))
+@query("""SELECT DISTINCT lower(unnest([n_name, n_name || '2'])) AS alias, n_name AS name, 'r' || n_regionkey AS semantics FROM nation""")
 def operation_specs(spark: SparkSession, d: str) -> DataFrame:
     row = F.struct(F.col("n_name").alias("name"), F.lit("memory").alias("backend"), F.array(F.concat(F.lit("libc::"), "n_name", F.lit("2@V")), F.concat(F.lit("__"), "n_name")).alias("aliases"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("semantics"), F.lit("write").alias("effect_kind"))
     made = t(spark, d, "nation").agg(F.lit(12).alias("schema_version"), F.collect_list(row).alias("operations"))
