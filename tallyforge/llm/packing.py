@@ -16,7 +16,9 @@ repeat are packed each. A sequence whose length is a power of two needs no paddi
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,10 @@ SEQUENCE = 2048
 END_ID = 1
 SEED = 20_240_607
 GROUP_BYTES = 8_000_000
-#: Pieces that a worker keeps ids of; a full cache starts afresh.
+#: Pieces that a worker keeps ids of; a full cache drops those not met since it was half full.
 CACHE = 900_000
+#: Whether array("I") is what the digest needs: unsigned 32-bit, little-endian.
+NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 PIECES = "doc_id long, doc_tokens long, crcs binary"
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -52,17 +56,27 @@ class PieceCodec:
         special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         # three white-space characters in a row or two at the end: the cuts would change the ids
         self.odd = re.compile("|".join([r"\s\s(?:\s|\Z)", *special]))
+        # pieces met since the cache was last halved, and those of the half before
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        model = self.tokenizer.model  # its own cache would only see pieces that ours lacks
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)
+            self.tokenizer.model = model
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found] if NATIVE else [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if self.odd.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        fresh = set().union(*(x for x in cut if x)) if any(cut) else set()
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {}
-        fresh = list(fresh.difference(self.known))
+        pieces = set().union(*(x for x in cut if x)) if any(cut) else set()
+        fresh = pieces.difference(self.known)
+        if len(self.known) + len(fresh) > CACHE // 2:
+            self.old, self.known, fresh = self.known, {}, pieces
+        again = fresh & self.old.keys()
+        self.known.update({x: self.old[x] for x in again})
+        fresh = list(fresh - again)
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             self.known.update(zip(part, self._ids(part), strict=True))
