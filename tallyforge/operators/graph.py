@@ -7,7 +7,10 @@ the edges and one anti-join with what is visited. Lineage is cut each level.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,42 +103,136 @@ def propagate(edges: DataFrame, marked: DataFrame) -> DataFrame:
     return seen
 
 
+#: Blocks whose dominators one task writes, and the most pairs it holds in a row and in a batch.
+PART, RUN, BATCH = 8192, 1 << 16, 1 << 19
+
+
+def dominator_tree(entry: Sequence[bool], successors: Sequence[Sequence[int]]) -> tuple[list[int], list[int]]:
+    """(parents, order) of blocks 0 .. n - 1: immediate dominators, -1 for roots, and the reachable blocks, parents first.
+
+    Roots are the entries and the blocks that nothing leads to. Immediate dominators are
+    refined in reverse post-order until none changes (Cooper, Harvey and Kennedy).
+    """
+    n = len(entry)
+    before: list[list[int]] = [[] for _ in range(n)]
+    for b, nexts in enumerate(successors):
+        for s in nexts:
+            before[s].append(b)
+    top = [b for b in range(n) if entry[b] or not before[b]]
+    state, post = bytearray(n), []
+    for root in top:
+        stack = [(root, iter(successors[root]))] if not state[root] else []
+        state[root] = 1
+        while stack:
+            b, rest = stack[-1]
+            for s in rest:
+                if not state[s]:
+                    state[s] = 1
+                    stack.append((s, iter(successors[s])))
+                    break
+            else:
+                post.append(stack.pop()[0])
+    order = post[::-1]
+    place = [0] * n  # 0: above all roots
+    for i, b in enumerate(order, 1):
+        place[b] = i
+    up = [0] * (len(order) + 1)  # by place
+    fixed, known = {place[b] for b in top}, bytearray(len(order) + 1)
+    for i in fixed:
+        known[i] = 1
+    changed = True
+    while changed:
+        changed = False
+        for i, b in enumerate(order, 1):
+            if i in fixed:
+                continue
+            best = -1
+            for q in before[b]:
+                j = place[q]
+                if not j or not known[j]:
+                    continue
+                while best >= 0 and best != j:
+                    if best > j:
+                        best = up[best]
+                    else:
+                        j = up[j]
+                best = j
+            if not known[i] or up[i] != best:
+                up[i], known[i], changed = best, 1, True
+    parents = [-1] * n
+    for i, b in enumerate(order, 1):
+        parents[b] = order[up[i] - 1] if up[i] else -1
+    return parents, order
+
+
 def dominators(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, block, dominator. ``blocks``: keys, block, entry flag, successors array.
 
-    Iterative data flow is sequential inside one control-flow graph and graphs are small,
-    so a graph is one group and graphs run in parallel.
+    A graph's tree of immediate dominators is sequential work and small; its pairs can be
+    many more than its blocks. So a large graph goes to several tasks, each of which makes
+    the tree and writes the pairs of its part of the blocks, batch by batch. A block that no
+    root reaches is dominated by all blocks.
     """
-    import pandas as pd
-
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", block {kinds['block']}, dominator {kinds['block']}"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names = list(rows["block"])
-        entry = {b for b, e in zip(names, rows["entry"], strict=True) if e}
-        before: dict = {b: set() for b in names}
-        for b, nexts in zip(names, rows["successors"], strict=True):
-            for s in nexts if nexts is not None else []:
-                if s in before:
-                    before[s].add(b)
-        dom = {b: {b} if b in entry else set(names) for b in names}
-        changed = True
-        while changed:
-            changed = False
-            for b in names:
-                if b in entry:
-                    continue
-                own = set.intersection(*(dom[p] for p in before[b])) | {b} if before[b] else {b}
-                if own != dom[b]:
-                    dom[b], changed = own, True
-        out = [(b, d) for b in names for d in sorted(dom[b])]
-        frame = pd.DataFrame(out, columns=["block", "dominator"])
-        for k in reversed(keys):
-            frame.insert(0, k, rows[k].iloc[0])
-        return frame
-
-    return blocks.groupBy(*keys).applyInPandas(run, schema)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", block {kinds['block']}, dominators array<{kinds['block']}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        part, parts = rows["_part"][0].as_py(), rows["_parts"][0].as_py()
+        names = rows["block"].combine_chunks()
+        at: dict = {}
+        for b in names.to_pylist():
+            at.setdefault(b, len(at))
+        first, entry, nexts = [0] * len(at), [False] * len(at), [[] for _ in at]
+        for i, (b, e, s) in enumerate(zip(names.to_pylist(), rows["entry"].to_pylist(), rows["successors"].to_pylist(), strict=True)):
+            first[at[b]], entry[at[b]] = i, entry[at[b]] or bool(e)
+            nexts[at[b]] += [at[x] for x in s or [] if x in at]
+        parents, order = dominator_tree(entry, nexts)
+        head = {k: rows[k].combine_chunks().slice(0, 1) for k in keys}
+
+        def batch(who: list[int], paths: list[np.ndarray]) -> pa.RecordBatch:
+            value = names.take(pa.array(np.concatenate(paths)))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, paths)]), pa.int32()), value)
+            same = pa.array(np.zeros(len(who), np.int64))
+            return pa.RecordBatch.from_arrays([*[head[k].take(same) for k in keys], names.take(pa.array([first[b] for b in who])), lists], [*keys, "block", "dominators"])
+
+        def paths() -> Iterator[tuple[int, np.ndarray]]:  # a block and the rows of its dominators
+            below: list[list[int]] = [[] for _ in at]
+            stack = []
+            for b in order:
+                (below[parents[b]] if parents[b] >= 0 else stack).append(b)
+            depth, path, seen = [0] * len(at), np.zeros(len(at), np.int64), 0
+            while stack:
+                b = stack.pop()
+                depth[b] = depth[parents[b]] + 1 if parents[b] >= 0 else 0
+                path[depth[b]] = first[b]
+                if seen % parts == part:
+                    yield b, path[: depth[b] + 1]
+                seen += 1
+                stack += below[b]
+            reached = set(order)
+            for b in range(len(at)):
+                if b not in reached:
+                    if seen % parts == part:
+                        yield b, np.array(first)
+                    seen += 1
+
+        who, held, size = [], [], 0
+        for b, path in paths():
+            for i in range(0, len(path), RUN):
+                who.append(b)
+                held.append(path[i : i + RUN].copy())
+                size += len(held[-1])
+                if size >= BATCH:
+                    yield batch(who, held)
+                    who, held, size = [], [], 0
+        if who:
+            yield batch(who, held)
+
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / PART).cast("int")
+    dealt = blocks.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: by their bytes AQE would join parts that write many pairs
+    return dealt.repartition(tasks, *keys, "_part").groupBy(*keys, "_part").applyInArrow(run, schema).select(*keys, "block", F.explode("dominators").alias("dominator"))
 
 
 def transparent(nodes: DataFrame, tiny: int = 5) -> Column:

@@ -20,6 +20,26 @@ def test_dominators(spark):
     assert got == {(1, 1), (2, 1), (2, 2), (3, 1), (3, 3), (4, 1), (4, 4)}
 
 
+def test_dominators_of_large_graphs_are_a_tree_and_dealt_in_parts(spark, monkeypatch):
+    import random
+
+    n = 50_000
+    parents, order = graph.dominator_tree([i == 0 for i in range(n)], [[i + 1] if i + 1 < n else [] for i in range(n)])
+    assert parents == list(range(-1, n - 1)) and order == list(range(n))
+    monkeypatch.setattr(graph, "PART", 4)
+    r = random.Random(5)
+    edges = {f: [sorted(r.sample(range(12), r.choice([0, 1, 1, 2, 3]))) for _ in range(12)] for f in "abcd"}
+    blocks = spark.createDataFrame([(f, b, b == 0, nexts) for f in edges for b, nexts in enumerate(edges[f])], "fn string, block long, entry boolean, successors array<long>")
+    want = []
+    for f, nexts in edges.items():
+        before = [{a for a in range(12) if b in nexts[a]} for b in range(12)]
+        dom = [{b} if b == 0 else set(range(12)) for b in range(12)]
+        for _ in range(12):
+            dom = [dom[b] if b == 0 else (set.intersection(*(dom[a] for a in before[b])) if before[b] else set()) | {b} for b in range(12)]
+        want += [(f, b, x) for b in range(12) for x in dom[b]]
+    assert sorted(map(tuple, graph.dominators(blocks, ["fn"]).collect())) == sorted(want)
+
+
 def test_budget_skips_what_does_not_fit(spark):
     df = spark.createDataFrame([(1, 9.0, 5.0), (2, 8.0, 6.0), (3, 7.0, 5.0), (4, 7.0, 0.5)], "id int, score double, cost double").withColumn("pool", F.lit(0))
     got = {r.id: r.selected for r in scheduling.budget_schedule(df, ["pool"], "score", "id", "cost", 10.0).collect()}
