@@ -88,7 +88,7 @@ def stale_certificates(spark: SparkSession, d: str) -> DataFrame:
 def evidence_packs(spark: SparkSession, d: str) -> DataFrame:
     n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("candidate_id"), F.col("c_nationkey").alias("function"), "c_name", "c_mktsegment")
-    tools = c.select("candidate_id", "function").join(t(spark, d, "supplier").select(F.col("s_nationkey").alias("function"), F.col("s_name").alias("finding")), "function").select("candidate_id", F.lit("scan").alias("tool"), "finding")
+    tools = t(spark, d, "supplier").select(F.col("s_nationkey").alias("function"), F.lit("scan").alias("tool"), F.col("s_name").alias("finding"))
     packs = proof.evidence_packs(c, n.select(F.col("n_nationkey").alias("function"), "n_name", "r_name"), tools)
     regions = proof.fact_request(packs, "context.r_name").withColumnRenamed("value", "region")
     whole = F.to_json(F.struct("pack.candidate.c_name", "pack.candidate.c_mktsegment", "pack.context.n_name"))

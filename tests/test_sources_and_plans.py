@@ -147,6 +147,15 @@ def test_lifetimes_read_statements_once(spark):
     assert events._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
 
 
+def test_findings_of_functions_are_gathered_once(spark):
+    from tallyforge.plans import proof
+
+    c = spark.createDataFrame([(1, "f"), (2, "f"), (3, "g")], "candidate_id int, function string")
+    tools = spark.createDataFrame([("f", "scan", "b"), ("f", "scan", "a")], "function string, tool string, finding string")
+    packs = proof.evidence_packs(c, spark.createDataFrame([("f", "x")], "function string, name string"), tools)
+    assert {r.candidate_id: [x.finding for x in r.pack.tools] for r in packs.collect()} == {1: ["a", "b"], 2: ["a", "b"], 3: []}
+
+
 def test_ranges_of_loops_join_by_values(spark):
     from tallyforge.plans import extract
 
