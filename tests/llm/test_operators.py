@@ -192,6 +192,41 @@ def test_piece_codec_equals_tokenizer():
     assert codec.encode(texts) == want
 
 
+def test_byte_pairs_equal_tokenizer():
+    import pyarrow as pa
+
+    from tallyforge.llm.byte_pairs import BytePairs
+
+    path, r = packing.default_tokenizer(), random.Random(6)
+    assert BytePairs.covers(path)
+    pairs, model = BytePairs(path), packing.PieceCodec(path).tokenizer
+    every = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000]
+    draws = [("abcdethinors", 14), ("aA1\n,.-'é中½² \x1c\x85\0ßЖ", 12), ("ab", 90), (every, 5)]
+    pieces = [r.choice(["", " "]) + "".join(r.choices(signs, k=r.randrange(most))) for signs, most in draws for _ in range(4000)]
+    pieces += ["", " ", " \n", "\n", "a\n", "a\nb", "a\n\nb", "'s", "it's", " " + "x" * 62, "x" * 64, "x" * 100_000]
+    ids, many, refused = pairs.encode(pa.array(pieces, pa.large_string()))
+    at = 0
+    for piece, n, no, want in zip(pieces, many.tolist(), refused.tolist(), model.encode_batch(pieces, add_special_tokens=False), strict=True):
+        assert ids[at : at + n].tolist() == ([] if no else want.ids), piece
+        at += n
+    assert at == len(ids) and not refused[:4000][[x != " " for x in pieces[:4000]]].any()
+    assert [len(x) for x in pairs.encode(pa.array([], pa.large_string()))] == [0, 0, 0]
+
+
+def test_plain_words_need_no_tokenizer(docs):
+    """The tokenizer takes 14 microseconds a piece, so it should see few: none of plain prose."""
+    codec, seen = packing.PieceCodec(packing.default_tokenizer()), []
+    texts = [prose(i, 300) + "\nNew line, 12 words." for i in range(50)] + [x or "" for _, x in pairs(docs)]
+    want = [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids = codec._ids
+    codec._ids = lambda x: seen.extend(x) or ids(x)
+    assert codec.encode(texts[:50]) == want[:50] and not seen
+    assert codec.encode(texts) == want and len(seen) < 0.1 * len({w for t in texts for w in t.split(" ")})
+    plain = packing.PieceCodec(packing.default_tokenizer())
+    plain.pairs = None  # another kind of tokenizer takes all pieces
+    assert plain.encode(texts) == want
+
+
 def test_tournament_is_first_fit():
     r = random.Random(4)
     tree, free = packing.Tournament(200, 100), [100] * 200
