@@ -7,6 +7,7 @@ the edges and one anti-join with what is visited. Lineage is cut each level.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -103,8 +104,8 @@ def propagate(edges: DataFrame, marked: DataFrame) -> DataFrame:
     return seen
 
 
-#: Blocks whose dominators one task writes, and the most pairs it holds in a row and in a batch.
-PART, RUN, BATCH = 8192, 1 << 16, 1 << 19
+#: Blocks and dominators of a tile at most, pairs dealt out together, pairs of a task, and ids that a batch of tiles holds.
+PART, RUN, DEAL, TASK, BATCH = 4096, 512, 1 << 22, 1 << 25, 1 << 19
 
 
 def dominator_tree(entry: Sequence[bool], successors: Sequence[Sequence[int]]) -> tuple[list[int], list[int]]:
@@ -165,74 +166,136 @@ def dominator_tree(entry: Sequence[bool], successors: Sequence[Sequence[int]]) -
     return parents, order
 
 
+def dominator_depths(parents: Sequence[int], order: Sequence[int]) -> list[int]:
+    """How many blocks dominate each reachable block, itself included; 0 for the others."""
+    depth = [0] * len(parents)
+    for b in order:
+        depth[b] = depth[parents[b]] + 1 if parents[b] >= 0 else 1
+    return depth
+
+
+def dominator_tiles(parents: Sequence[int], order: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(blocks, dominators), each pair of the two once over all tiles: what dominates all blocks of a run, then of its halves.
+
+    A run is consecutive in the tree's preorder, so its common dominators are the start of
+    its first block's path: those whose subtrees end with the run or later.
+    """
+    n, depth = len(parents), dominator_depths(parents, order)
+    below: list[list[int]] = [[] for _ in range(n)]
+    stack, size = [], [1] * n
+    for b in order:
+        (below[parents[b]] if parents[b] >= 0 else stack).append(b)
+    for b in reversed(order):
+        if parents[b] >= 0:
+            size[parents[b]] += size[b]
+    line: list[int] = []
+    while stack:
+        line.append(b := stack.pop())
+        stack += below[b]
+    blocks, path, ends, at = np.array(line, np.int64), np.zeros(n, np.int64), [0] * n, 0
+
+    def tiles(who: np.ndarray, doms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(who), PART):
+            for j in range(0, len(doms), RUN):
+                yield who[i : i + PART], doms[j : j + RUN].copy()
+
+    runs = [(0, len(line), 0)] if line else []
+    while runs:
+        low, high, have = runs.pop()
+        while at <= low:  # runs start further on each time
+            path[depth[line[at]] - 1], ends[depth[line[at]] - 1] = line[at], at + size[line[at]]
+            at += 1
+        common, top = have, depth[line[low]]
+        while common < top:
+            middle = (common + top) // 2
+            common, top = (middle + 1, top) if ends[middle] >= high else (common, middle)
+        yield from tiles(blocks[low:high], path[have:common])
+        if high - low > 1:
+            middle = (low + high) // 2
+            runs += [(middle, high, common), (low, middle, common)]
+    if len(line) < n:
+        yield from tiles(np.array([b for b in range(n) if not depth[b]], np.int64), np.arange(n))
+
+
 def dominators(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, block, dominator. ``blocks``: keys, block, entry flag, successors array.
 
     A graph's tree of immediate dominators is sequential work and small; its pairs can be
-    many more than its blocks. So a large graph goes to several tasks, each of which makes
-    the tree and writes the pairs of its part of the blocks, batch by batch. A block that no
-    root reaches is dominated by all blocks.
+    many more than its blocks. So they leave as tiles, blocks by dominators, which are dealt
+    to as many tasks as their pairs need and unfold there. In a tile a block stays the same
+    for a run of rows and the run repeats, so files of many pairs stay small. A block that
+    no root reaches is dominated by all blocks.
     """
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", block {kinds['block']}, dominators array<{kinds['block']}>"
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).combine_chunks()
-        part, parts = rows["_part"][0].as_py(), rows["_parts"][0].as_py()
+    def tree(rows: pa.Table) -> tuple[pa.Array, list[int], list[int]]:  # ids, and their tree
         names = rows["block"].combine_chunks()
         at: dict = {}
         for b in names.to_pylist():
             at.setdefault(b, len(at))
-        first, entry, nexts = [0] * len(at), [False] * len(at), [[] for _ in at]
+        first, entry, nexts = [-1] * len(at), [False] * len(at), [[] for _ in at]
         for i, (b, e, s) in enumerate(zip(names.to_pylist(), rows["entry"].to_pylist(), rows["successors"].to_pylist(), strict=True)):
             first[at[b]], entry[at[b]] = i, entry[at[b]] or bool(e)
             nexts[at[b]] += [at[x] for x in s or [] if x in at]
-        parents, order = dominator_tree(entry, nexts)
-        head = {k: rows[k].combine_chunks().slice(0, 1) for k in keys}
-
-        def batch(who: list[int], paths: list[np.ndarray]) -> pa.RecordBatch:
-            value = names.take(pa.array(np.concatenate(paths)))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, paths)]), pa.int32()), value)
-            same = pa.array(np.zeros(len(who), np.int64))
-            return pa.RecordBatch.from_arrays([*[head[k].take(same) for k in keys], names.take(pa.array([first[b] for b in who])), lists], [*keys, "block", "dominators"])
-
-        def paths() -> Iterator[tuple[int, np.ndarray]]:  # a block and the rows of its dominators
-            below: list[list[int]] = [[] for _ in at]
-            stack = []
-            for b in order:
-                (below[parents[b]] if parents[b] >= 0 else stack).append(b)
-            depth, path, seen = [0] * len(at), np.zeros(len(at), np.int64), 0
-            while stack:
-                b = stack.pop()
-                depth[b] = depth[parents[b]] + 1 if parents[b] >= 0 else 0
-                path[depth[b]] = first[b]
-                if seen % parts == part:
-                    yield b, path[: depth[b] + 1]
-                seen += 1
-                stack += below[b]
-            reached = set(order)
-            for b in range(len(at)):
-                if b not in reached:
-                    if seen % parts == part:
-                        yield b, np.array(first)
-                    seen += 1
-
-        who, held, size = [], [], 0
-        for b, path in paths():
-            for i in range(0, len(path), RUN):
-                who.append(b)
-                held.append(path[i : i + RUN].copy())
-                size += len(held[-1])
-                if size >= BATCH:
-                    yield batch(who, held)
-                    who, held, size = [], [], 0
-        if who:
-            yield batch(who, held)
+        return names.take(pa.array(first)), *dominator_tree(entry, nexts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, parents, order = tree(pa.Table.from_batches(list(batches)))
+        n = len(parents)
+        yield pa.RecordBatch.from_pydict({"pairs": pa.array([float(sum(dominator_depths(parents, order)) + (n - len(order)) * n)])})
 
-    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / PART).cast("int")
-    dealt = blocks.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: by their bytes AQE would join parts that write many pairs
-    return dealt.repartition(tasks, *keys, "_part").groupBy(*keys, "_part").applyInArrow(run, schema).select(*keys, "block", F.explode("dominators").alias("dominator"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        names, parents, order = tree(rows)
+        same = {k: rows[k].combine_chunks().slice(0, 1) for k in keys}
+
+        def batch(deals: list[int], *sides: list[np.ndarray]) -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), names.take(pa.array(np.concatenate(x)))) for x in sides]
+            zeros = pa.array(np.zeros(len(deals), np.int64))
+            return pa.RecordBatch.from_arrays([*[same[k].take(zeros) for k in keys], pa.array(deals, pa.int64()), *lists], [*keys, "_deal", "blocks", "dominators"])
+
+        deals, who, doms, held, pairs = [], [], [], 0, 0
+        for b, x in dominator_tiles(parents, order):
+            deals.append(pairs // DEAL)
+            who.append(b)
+            doms.append(x)
+            pairs, held = pairs + len(b) * len(x), held + len(b) + len(x)
+            if held >= BATCH:
+                yield batch(deals, who, doms)
+                deals, who, doms, held = [], [], [], 0
+        if who:
+            yield batch(deals, who, doms)
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            (who, b), (doms, x) = ((c.values, c.offsets.to_numpy().tolist()) for c in (rows.column("blocks"), rows.column("dominators")))
+
+            def batch(parts: list[tuple[np.ndarray, ...]], rows=rows, who=who, doms=doms) -> pa.RecordBatch:
+                tile, block, long, ids = map(np.concatenate, zip(*parts, strict=True))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]), pa.int32()), doms.take(pa.array(ids)))
+                return pa.RecordBatch.from_arrays([*[rows.column(k).take(pa.array(tile)) for k in keys], who.take(pa.array(block)), lists], [*keys, "block", "dominators"])
+
+            parts, held = [], 0
+            for i in range(rows.num_rows):
+                long = x[i + 1] - x[i]
+                step = max(1, BATCH // long)
+                for low in range(b[i], b[i + 1], step):
+                    some = np.arange(low, min(low + step, b[i + 1]))
+                    parts.append((np.full(len(some), i), some, np.full(len(some), long), np.tile(np.arange(x[i], x[i + 1]), len(some))))
+                    held += len(some) * long
+                    if held >= BATCH:
+                        yield batch(parts)
+                        parts, held = [], 0
+            if parts:
+                yield batch(parts)
+
+    graphs = blocks.select(*keys, "block", "entry", "successors").groupBy(*keys)
+    pairs = graphs.applyInArrow(count, "pairs double").agg(F.sum("pairs")).first()[0] or 0
+    tasks = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK))  # by bytes AQE would join tiles of many pairs
+    tiles = graphs.applyInArrow(run, f"{head}, _deal long, blocks array<{kinds['block']}>, dominators array<{kinds['block']}>")
+    unfolded = tiles.repartition(tasks, *keys, "_deal").mapInArrow(unfold, f"{head}, block {kinds['block']}, dominators array<{kinds['block']}>")
+    return unfolded.select(*keys, "block", F.explode("dominators").alias("dominator"))
 
 
 def transparent(nodes: DataFrame, tiny: int = 5) -> Column:

@@ -40,6 +40,16 @@ def test_dominators_of_large_graphs_are_a_tree_and_dealt_in_parts(spark, monkeyp
     assert sorted(map(tuple, graph.dominators(blocks, ["fn"]).collect())) == sorted(want)
 
 
+def test_dominators_of_a_long_chain_take_little_disk(spark, tmp_path):
+    n = 3000
+    nexts = F.array_compact(F.array(F.when(F.col("block") < n - 1, F.col("block") + 1)))
+    chain = spark.range(n).select(F.lit("f").alias("fn"), F.col("id").alias("block")).select("*", (F.col("block") == 0).alias("entry"), nexts.alias("successors"))
+    graph.dominators(chain, ["fn"]).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).where("dominator <= block").agg(F.count(F.lit(1)), F.countDistinct("block", "dominator")).first()
+    assert tuple(got) == (n * (n + 1) // 2,) * 2
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < n * (n + 1) // 2 * 0.25
+
+
 def test_budget_skips_what_does_not_fit(spark):
     df = spark.createDataFrame([(1, 9.0, 5.0), (2, 8.0, 6.0), (3, 7.0, 5.0), (4, 7.0, 0.5)], "id int, score double, cost double").withColumn("pool", F.lit(0))
     got = {r.id: r.selected for r in scheduling.budget_schedule(df, ["pool"], "score", "id", "cost", 10.0).collect()}
