@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import records as R
@@ -232,8 +232,13 @@ def write_classification(spark: SparkSession, d: str) -> DataFrame:
 ORDER_DAYS = "SELECT o_custkey, epoch(o_orderdate)::BIGINT // 86400 AS s, epoch(o_orderdate)::BIGINT // 86400 + 90 AS e FROM orders"
 
 
+def epoch_day(at: str) -> Column:
+    """Day since 1970 of the nearest second, towards 1970."""
+    return (F.rint(F.unix_micros(F.col(at).cast("timestamp")) / 1e6) / 86400).cast("long")
+
+
 def order_days(spark: SparkSession, d: str) -> DataFrame:
-    day = F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400)
+    day = epoch_day("o_orderdate")
     return t(spark, d, "orders").select("o_custkey", day.alias("start"), (day + 90).alias("end"))
 
 
@@ -251,7 +256,7 @@ def interval_union(spark: SparkSession, d: str) -> DataFrame:
     SELECT o_custkey, min(day) AS start, max(day) + 1 AS "end" FROM g GROUP BY o_custkey, k""")
 def interval_difference(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders").where("o_orderstatus = 'F'")
-    day = F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400)
+    day = epoch_day("o_orderdate")
     return intervals.subtract_intervals(order_days(spark, d), o.select("o_custkey", day.alias("start"), (day + 30).alias("end")), ["o_custkey"])
 
 

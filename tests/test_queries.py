@@ -35,6 +35,15 @@ def test_query(spark, duck, name):
     assert got == sorted((norm([r[i] for i in at]) for r in want.fetchall()), key=str)
 
 
+def test_interval_union_of_odd_dates(spark, tmp_path):
+    con = duckdb.connect()
+    rows = "(1, '1995-01-01'), (1, NULL), (1, NULL), (1, '1995-02-01'), (1, '1995-02-01'), (2, '1969-12-31 12:00:00'), (2, '1970-01-01'), (3, '2000-01-01 23:59:59.7'), (NULL, '2000-01-01'), (NULL, NULL)"
+    con.sql(f"COPY (SELECT row_number() OVER () AS o_orderkey, k::BIGINT AS o_custkey, d::TIMESTAMP AS o_orderdate FROM (VALUES {rows}) v(k, d)) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = QUERIES["interval_union"](spark, str(tmp_path)).select("o_custkey", "start", "end", "members").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(SQL["interval_union"]).fetchall(), key=str)
+
+
 def test_entry(spark):
     import __spark_entry__
 
